@@ -139,7 +139,7 @@ def _general(text: str) -> list[int]:
             continue
         if qi < len(quotes) and quotes[qi][0] < at < quotes[qi][1]:
             a, b = quotes[qi]
-            if b > end or not (text[b - 1] in "”“」』»\"" and b - a > 1):
+            if b > end + (text[end : end + 1] == "“") or not (text[b - 1] in "”“」』»\"" and b - a > 1):
                 continue
             end = b
             if _quotation_goes_on(text, start, a, b, cjk, deva):
