@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.plans import history
+from inkweave.plans import history, records, units
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": history.p5_found}
+    return units.QUERIES | records.QUERIES | {"p5_found": history.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(history.ORACLE)
+    return units.ORACLE | records.ORACLE | history.ORACLE
