@@ -109,7 +109,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.scores(table(spark, d, "documents")).where("p_cut > 0.5").select("doc_id").distinct()
+    return cutoff.scores(table(spark, d, "documents")).where(F.col("p_cut") > cutoff.THRESHOLD).select("doc_id").distinct()
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
