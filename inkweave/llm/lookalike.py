@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.arrow import map_rows
+from inkweave.sources.scratch import cut
 
 # Letters of the same shape, Latin on the right.
 CYRILLIC = dict(zip("асԁеһіјӏоԛрѕѵԝхугкАВСԌЕНІЈКМОԚРЅТѴԜХУҮЅӀ", "acdehijloqpsvwxyrkABCGEHIJKMOQPSTVWXYYSI"))
@@ -167,7 +168,7 @@ def alike_pairs(members: DataFrame) -> DataFrame:
     """
     m = members.where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("unit_id").isNotNull()).select("field", "unit_id", F.md5("text").alias("h"), "text")
     texts = m.groupBy("h").agg(F.first("text").alias("text"))
-    keyed = canonical(texts, "h", "text").select("h", F.md5("canonical").alias("k"))
+    keyed = cut(canonical(texts, "h", "text").select("h", F.md5("canonical").alias("k")))
     many = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     nodes = keyed.join(many, "k", "left_semi")
     a, b = nodes.select("k", F.col("h").alias("ha")), nodes.select("k", F.col("h").alias("hb"))
