@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkweave.operators import closure, layout, ledger, quality, retrieval, segment, sequence
+from inkweave.operators import closure, fragments, layout, ledger, lineage, overrides, quality, retrieval, segment, sequence
 from inkweave.operators.history import versions
 from inkweave.sources import documents
 
@@ -164,3 +164,58 @@ def test_page_ranges():
 def test_overrides_merge_in_place():
     o = [{"unit_id": "a", "x": 1}, {"bbox": 1}, {"unit_id": "a", "y": 2}]
     assert documents.merged_overrides(o) == [{"unit_id": "a", "x": 1, "y": 2}, {"bbox": 1}]
+
+
+BLOCK = "project_id string, page int, block_id string, kind string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def test_fragments_of_one_block_are_merged(spark):
+    b = spark.createDataFrame(
+        [
+            ("p", 1, "a", "code", "x = 1", (10.0, 10.0, 50.0, 20.0)),
+            ("p", 1, "b", "code", "y = 2", (12.0, 25.0, 60.0, 35.0)),
+            ("p", 1, "c", "code", "z = 3", (12.0, 60.0, 60.0, 70.0)),
+            ("p", 1, "d", "caption", "Box 1", (10.0, 80.0, 60.0, 90.0)),
+            ("p", 1, "e", "paragraph", None, (10.0, 95.0, 60.0, 99.0)),
+            ("p", 1, "f", "paragraph", "far", (10.0, 120.0, 60.0, 130.0)),
+        ],
+        BLOCK,
+    )
+    got = {r["first_block"]: (r["parts"], r["text"]) for r in fragments.merged(b).collect()}
+    assert got["a"] == (2, "x = 1\ny = 2") and got["c"][0] == 1 and len(got) == 5
+    assert [tuple(r) for r in fragments.caption_bodies(b).collect()] == [("d", "e")]
+    lines = spark.createDataFrame([("b", 1, "if x:", 10.0, 35.0), ("b", 2, "y()", 30.0, 45.0), ("b", 3, "", 10.0, 10.0)], "block_id string, no int, text string, x0 double, x1 double")
+    assert fragments.indented(lines).first()["text"] == "if x:\n    y()"
+
+
+def test_overrides_apply_in_order(spark):
+    u = spark.createDataFrame([("p", "u1", 1, "note", "a", (0.0, 0.0, 10.0, 10.0)), ("p", "u2", 1, "code", "b", (0.0, 20.0, 10.0, 30.0)), ("p", "u3", 2, "code", "Z", (0.0, 20.0, 10.0, 30.0))], "project_id string, unit_id string, page int, kind string, source_text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    rows_ = [
+        ("p", 1, "u1", None, None, None, None, False, "paragraph"),
+        ("p", 2, "u1", None, None, None, None, False, "list_item"),
+        ("p", 3, None, 1, (0.0, 21.0, 10.0, 30.0), None, None, True, None),
+        ("p", 4, None, None, None, "code", "^Z", False, "equation"),
+    ]
+    patches = spark.createDataFrame(rows_, "project_id string, ord int, unit_id string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, current_kind string, text_regex string, ignore boolean, kind string")
+    out = overrides.apply(u, patches)
+    assert {r["unit_id"]: r["kind"] for r in out.collect()} == {"u1": "list_item", "u3": "equation"}
+    effects = {r["unit_id"]: r["effect"] for r in overrides.stale_records(u, out, ["kind"]).collect()}
+    assert effects == {"u1": "invalidated", "u2": "removed", "u3": "invalidated"}
+
+
+def test_chains_end_at_their_roots(spark):
+    runs = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "gone"), ("y", "z"), ("z", "y")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
+    got = {r["k"]: (r["root"], r["depth"]) for r in lineage.roots(spark.createDataFrame(runs, "k string, p string"), "k", "p").collect()}
+    assert got["d"] == ("a", 3) and got["a"] == ("a", 0) and got["n39"] == ("n0", 39)
+    assert got["x"] == ("gone", 1) and got["y"] == got["z"] == ("y", -1)
+
+
+def test_receipts_recall_and_medians(spark, rows):
+    cur = spark.createDataFrame([(1, "f1"), (2, "f2"), (3, "f3")], "page int, fp string")
+    rec = spark.createDataFrame([(1, "f1", True), (2, "old", True), (3, "f3", False)], "page int, fp string, passed boolean")
+    assert rows(lineage.to_recompute(cur, rec, ["page"], "fp")) == [(2, "f2"), (3, "f3")]
+    gold = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, severity string")
+    found = spark.createDataFrame([("a",), ("a",)], "id string")
+    assert rows(lineage.recall(gold, found, ["id"], "severity")) == [("x", 2, 1), ("y", 1, 0)]
+    m = spark.createDataFrame([("g", "l", 10.0), ("g", "l", 20.0), ("g", "o", 12.0)], "g string, v string, x double")
+    assert rows(lineage.reductions(m, "g", "v", "x", "l", "o")) == [("g", 15.0, 12.0, pytest.approx(0.2))]
