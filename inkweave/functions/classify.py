@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of captions, list items, notes, formulas, ends, code and page margins.
 CAPTION = r"(?i)^(figure|fig\.|table)\s*\d+(?:[-–.]\d+)?[.:]?"
 PROSE_CAPTION = r"(?i)^(?:figure|fig\.|table)\s*\d+(?:[-–.]\d+)?\s+(?:and|compares|demonstrates|illustrates|includes|lists|provides|sheds|shows|summarizes)\b"
 LIST_ITEM = r"(?i)^(?:[•▪■●○◦–—-]|\(?\d+[.)]|[a-z][.)])\s+"
@@ -98,18 +99,3 @@ def target_structure_error(kind: Column, target: Column) -> Column:
             "note-shell",
         )
     )
-
-
-def failure_type(error: Column) -> Column:
-    """Ordered substring rules over an error message."""
-    e = F.lower(error)
-    return (
-        F.when(e.rlike("timed out|timeout"), "timeout")
-        .when(e.rlike("quota|usage limit|rate limit|too many requests|429"), "quota")
-        .when(e.rlike("unauthorized|authentication|not logged in|api key|401|403"), "authentication")
-        .when(e.rlike("connection|network|dns|unreachable|econn"), "network")
-        .when(e.rlike("model .*not (?:found|available)|unknown model"), "model-unavailable")
-        .when(e.rlike("json|schema|parse|format"), "format")
-        .when(e.rlike("not found|no such file|executable"), "missing-tool")
-        .otherwise("unknown")
-    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Ligatures and their letters.
 LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"))
+# Patterns of list markers, note and reader labels, and captions.
 LIST_MARKER = r"^\s*(?:[-+*•▪■●]\s+|\d+[.)]\s+)"
 NOTE_LABEL = r"(?i)^(?:[■▪●]\s*)?(?:note|tip|warning|caution|what[’']s new|注意|提示|警告|新增内容)\s*[:：]?\s*"
 READER_LABEL = r"^\s*(?:读者注|译者注)\s*[:：]\s*"
@@ -22,6 +23,7 @@ PROTECTED = (
 )
 # Tokens that the patterns find and that aren't protected.
 UNPROTECTED = ("EG", "IE", "E.G", "I.E", "THE", "AND", "USING", "MORE")
+# Patterns of the tokens that are counted and compared.
 MEMORY_TOKEN = r"[a-z][a-z0-9_.-]{1,}|[㐀-鿿]{2,}"
 COVERAGE_TOKEN = r"[A-Za-z0-9]+|[Ͱ-Ͽ]|[∀-⋿]"
 NUMBER = r"(?<![A-Za-z0-9^])[-+]?\d+(?:[.,]\d+)?(?:\s*[×x]\s*10\^?[-+]?\d+|\^[-+]?\d+)?"
