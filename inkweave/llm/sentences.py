@@ -47,7 +47,7 @@ _FURNITURE = re.compile(r"(?:\[\d+\]|[-–—] ?\d+ ?[-–—]|\(\d+\))[ \t]*(?:
 _CAMEL = re.compile(r"[a-zäöü]+[A-ZÄÖÜ]")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>|~?\\(?:cite|ref|label)\{[^{}]*\}|\{\{cite[^{}]*\}\}", re.S)
-_TAIL = re.compile(r"\s*(?:\||\{\||```|- \[|\\begin\{|\\\[|\$\$|>\s*\n|<table|<ul|<br)")
+_TAIL = re.compile(r"\s*(?:\||\{\||```|- \[|\\begin\{|\\[\[(]|\$|>\s*\n|<table|<ul|<br)")
 _HAS_THAI = re.compile(f"[{_THAI}]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
 _HAS_DEVA = re.compile("[ऀ-ॿ]")
