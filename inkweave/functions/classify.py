@@ -99,3 +99,39 @@ def target_structure_error(kind: Column, target: Column) -> Column:
             "note-shell",
         )
     )
+
+
+def block_class(text: Column, bbox: Column, width: Column, height: Column, size: Column, median_size: Column, fonts: Column, is_code: Column, outline_match: Column) -> Column:
+    """``kind, confidence, translatable`` of a block by ordered rules.
+
+    ``is_code`` is the listing test, ``outline_match`` the best ratio (0 to 100) of the text with
+    the page's outline titles.
+    """
+    line = one_line(text)
+    large = (F.length(line) < 130) & (size >= F.greatest(median_size * 1.28, median_size + 1.5))
+    code = is_monospace(fonts) | F.ltrim(text).startswith("<") | text.rlike(CODE_START) | is_code
+    heading = F.least(F.lit(0.99), F.lit(0.78) + outline_match / 500)
+
+    def of(kind: str, confidence, translatable: bool) -> Column:
+        c = F.lit(confidence) if isinstance(confidence, float) else confidence
+        return F.struct(F.lit(kind).alias("kind"), c.alias("confidence"), F.lit(translatable).alias("translatable"))
+
+    return (
+        F.when(is_caption(line), of("caption", 0.97, True))
+        .when(line.rlike(NOTE), of("note", 0.95, True))
+        .when(code, of("code", 0.96, False))
+        .when((bbox["y0"] > height * 0.80) & (size < median_size * 0.83), of("footnote", 0.78, True))
+        .when(looks_like_equation(text, bbox, width), of("equation", 0.88, False))
+        .when(line.rlike(LIST_ITEM), of("list_item", 0.92, True))
+        .when((outline_match >= 70) | large, of("heading", heading, True))
+        .when(line.rlike("(?i)^(references|literature cited|bibliography)$"), of("heading", 0.98, True))
+        .otherwise(of("paragraph", 0.90, True))
+    )
+
+
+def table_shape_ok(rows: Column) -> Column:
+    """Two rows and columns at least, 35 % of the cells filled, and enough of them for its size."""
+    r = F.size(rows)
+    c = F.coalesce(F.array_max(F.transform(rows, lambda x: F.size(x))), F.lit(0))
+    filled = F.size(F.filter(F.flatten(rows), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
+    return (r >= 2) & (c >= 2) & (filled >= F.lit(0.35) * r * c) & (filled >= F.greatest(F.lit(4), r + c - 2))

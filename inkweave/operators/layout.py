@@ -74,3 +74,37 @@ def token_coverage(blocks: DataFrame, units: DataFrame, least: float = 0.72) ->
     a, b = counts(blocks, "text", "n"), counts(units, "source_text", "m")
     per = a.join(b, ["project_id", "page", "token"], "left").groupBy("project_id", "page").agg(F.sum("n").alias("tokens"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("captured"))
     return per.withColumn("enough", F.col("captured") >= F.col("tokens") * least)
+
+
+def outside(boxes: DataFrame, regions: DataFrame, least: float = 0.55) -> DataFrame:
+    """Boxes of which no region of their page covers more than ``least`` (anti-join keyed by page)."""
+    r = regions.select(F.col("project_id").alias("__p"), F.col("page").alias("__g"), F.col("bbox").alias("__r"))
+    return boxes.join(r, (F.col("project_id") == F.col("__p")) & (F.col("page") == F.col("__g")) & (overlap(F.col("bbox"), F.col("__r")) > least), "left_anti")
+
+
+def caption_regions(blocks: DataFrame) -> DataFrame:
+    """``figure, caption``: the nearest caption below a figure with no other caption between them.
+
+    Of the captions of a page that begin below a figure the first one is nearest, so none lies
+    between; ties go to the smaller id.
+    """
+    f = blocks.where("kind = 'figure'").select("project_id", "page", F.col("block_id").alias("figure"), F.col("bbox.y1").alias("bottom"))
+    c = blocks.where("kind = 'caption'").select("project_id", "page", F.col("block_id").alias("caption"), F.col("bbox.y0").alias("top"))
+    below = f.join(c, ["project_id", "page"]).where(F.col("top") >= F.col("bottom"))
+    return below.groupBy("figure").agg(F.min_by("caption", F.struct("top", "caption")).alias("caption"))
+
+
+def outline(entries: DataFrame) -> DataFrame:
+    """``project_id, page, titles`` of ``entries(project_id, ord, page, title)``, in order; pages count from 1."""
+    kept = entries.where("page > 0").groupBy("project_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("t"))
+    return kept.select("project_id", "page", F.transform("t", lambda x: x["title"]).alias("titles"))
+
+
+def context_units(units: DataFrame, pages: DataFrame) -> DataFrame:
+    """``project_id, unit_id, pos``: the units of the pages, and whole the sidebars that reach into them."""
+    u = units.select("project_id", "unit_id", "pos", "page", "sidebar_id")
+    own = u.join(pages.select("project_id", "page").distinct(), ["project_id", "page"], "left_semi")
+    reached = own.where("sidebar_id IS NOT NULL").select("project_id", "sidebar_id").distinct()
+    spans = u.join(reached, ["project_id", "sidebar_id"]).groupBy("project_id", "sidebar_id").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    inside = spans.select("project_id", F.explode(F.sequence("a", "z")).alias("pos"))
+    return own.select("project_id", "pos").unionByName(inside).distinct().join(u.select("project_id", "unit_id", "pos"), ["project_id", "pos"]).select("project_id", "unit_id", "pos")

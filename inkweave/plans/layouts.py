@@ -93,9 +93,63 @@ def batch_memory(spark: SparkSession, d: str) -> DataFrame:
     u = units(spark, d)
     first = table(spark, d, "projects").agg(F.min("project_id").alias("project_id"))
     own = u.join(F.broadcast(first), "project_id", "left_semi")
+    places = own.select("unit_id", "pos")
     batch = greedy_batches(own).where("stretch = 1 AND batch = 1").select("unit_id", "pos")
     now = batch.join(u.select("unit_id", "source_text"), "unit_id").select("unit_id", "source_text")
     edge = batch.agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
-    near = own.crossJoin(F.broadcast(edge)).where("pos = a - 1 OR pos = z + 1").select("unit_id", F.lit(True).alias("near"))
+    near = places.crossJoin(F.broadcast(edge)).where("pos = a - 1 OR pos = z + 1").select("unit_id", F.lit(True).alias("near"))
     memory = current(spark, d).join(u.select("unit_id", "source_text"), "unit_id").join(near, "unit_id", "left").select("unit_id", "line_no", "source_text", F.coalesce("near", F.lit(False)).alias("adjacent"))
     return retrieval.translation_memory(now, memory)
+
+
+@query()
+def block_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of every block by rule, beside the extractor's guess."""
+    from inkweave.functions import classify as C
+    from inkweave.functions.python import is_program_code_udf
+
+    b = blocks(spark, d)
+    medians = b.groupBy("project_id", "page").agg(F.median("font_size").alias("median_size"))
+    j = b.join(medians, ["project_id", "page"]).withColumn("is_code", is_program_code_udf("text"))
+    c = C.block_class(F.col("text"), F.col("bbox"), F.col("page_width"), F.col("page_height"), F.col("font_size"), F.col("median_size"), F.col("font_names"), F.col("is_code"), F.lit(0.0))
+    return j.select("block_id", F.col("kind").alias("guess"), c.alias("c")).select("block_id", "guess", "c.kind", "c.confidence", "c.translatable")
+
+
+@query(f"""WITH {B}, f AS (SELECT project_id, page, block_id AS figure, bbox.y1 AS bottom FROM b WHERE kind = 'figure'), c AS (SELECT project_id, page, block_id AS caption, bbox.y0 AS top FROM b WHERE kind = 'caption')
+SELECT figure, arg_min(caption, (top, caption)) AS caption FROM f JOIN c USING (project_id, page) WHERE top >= bottom GROUP BY figure""")
+def figure_captions(spark: SparkSession, d: str) -> DataFrame:
+    from inkweave.operators.layout import caption_regions
+
+    return caption_regions(blocks(spark, d))
+
+
+@query(f"""WITH {B} SELECT block_id FROM b x WHERE kind <> 'figure' AND NOT EXISTS (SELECT 1 FROM b y WHERE y.kind = 'figure' AND y.project_id = x.project_id AND y.page = x.page
+  AND least(x.bbox.x1, y.bbox.x1) > greatest(x.bbox.x0, y.bbox.x0) AND least(x.bbox.y1, y.bbox.y1) > greatest(x.bbox.y0, y.bbox.y0)
+  AND (least(x.bbox.x1, y.bbox.x1) - greatest(x.bbox.x0, y.bbox.x0)) * (least(x.bbox.y1, y.bbox.y1) - greatest(x.bbox.y0, y.bbox.y0)) / greatest((x.bbox.x1 - x.bbox.x0) * (x.bbox.y1 - x.bbox.y0), 1.0) > 0.55)""")
+def unoccupied_blocks(spark: SparkSession, d: str) -> DataFrame:
+    from inkweave.operators.layout import outside
+
+    b = blocks(spark, d)
+    return outside(b.where("kind <> 'figure'"), b.where("kind = 'figure'")).select("block_id")
+
+
+@query(f"""WITH {U}, g AS (SELECT DISTINCT project_id, page FROM u WHERE kind = 'heading'), o AS (SELECT u.* FROM u JOIN g USING (project_id, page)),
+s AS (SELECT project_id, sidebar_id, min(pos) AS a, max(pos) AS z FROM u WHERE (project_id, sidebar_id) IN (SELECT project_id, sidebar_id FROM o WHERE sidebar_id IS NOT NULL) GROUP BY ALL)
+SELECT project_id, unit_id, pos FROM o UNION SELECT u.project_id, u.unit_id, u.pos FROM u JOIN s ON u.project_id = s.project_id AND u.pos BETWEEN s.a AND s.z""")
+def context_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of the pages that hold a heading, with the sidebars that reach into them."""
+    from inkweave.operators.layout import context_units as context
+
+    u = units(spark, d)
+    return context(u, u.where("kind = 'heading'"))
+
+
+@query(f"""WITH {U}, c AS (SELECT * FROM translation_history QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY line_no DESC) = 1)
+SELECT unit_id, sha256(concat_ws(chr(31), {_fp(SOURCE_FIELDS).replace('source_hash::VARCHAR', 'u.source_hash::VARCHAR')}, coalesce(c.target_text, chr(0)), coalesce(array_to_string(c.uncertainties, chr(30)), chr(0)))) AS translation_fp FROM u LEFT JOIN c USING (unit_id)""")
+def translation_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint of a unit with its current record's content; null content differs from empty."""
+    u = units(spark, d).select("unit_id", fingerprint(SOURCE_FIELDS).alias("fp"))
+    j = u.join(current(spark, d, "target_text", "uncertainties"), "unit_id", "left")
+    null = F.lit("\x00")
+    content = F.concat_ws("\x1f", "fp", F.coalesce("target_text", null), F.coalesce(F.array_join("uncertainties", "\x1e"), null))
+    return j.select("unit_id", F.sha2(content, 256).alias("translation_fp"))

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from inkweave.functions import classify as C
 from inkweave.operators import closure, fragments, layout, ledger, lineage, overrides, quality, retrieval, segment, sequence
 from inkweave.operators.history import versions
 from inkweave.sources import documents
@@ -219,3 +220,40 @@ def test_receipts_recall_and_medians(spark, rows):
     assert rows(lineage.recall(gold, found, ["id"], "severity")) == [("x", 2, 1), ("y", 1, 0)]
     m = spark.createDataFrame([("g", "l", 10.0), ("g", "l", 20.0), ("g", "o", 12.0)], "g string, v string, x double")
     assert rows(lineage.reductions(m, "g", "v", "x", "l", "o")) == [("g", 15.0, 12.0, pytest.approx(0.2))]
+
+
+def test_block_classes(spark):
+    s = "text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, size double, fonts array<string>, code boolean, outline double"
+    box = (72.0, 100.0, 400.0, 130.0)
+    data = [
+        ("Figure 2-1 A box", box, 10.0, ["Serif"], False, 0.0),
+        ("Note: take care", box, 10.0, ["Serif"], False, 0.0),
+        ("x = 1", box, 10.0, ["Courier"], False, 0.0),
+        ("1 See the other book", (72.0, 700.0, 400.0, 712.0), 7.0, ["Serif"], False, 0.0),
+        ("a = b + c", (250.0, 100.0, 350.0, 120.0), 10.0, ["Serif"], False, 0.0),
+        ("- an entry", box, 10.0, ["Serif"], False, 0.0),
+        ("The first part", box, 14.0, ["Serif"], False, 0.0),
+        ("A known title", box, 10.0, ["Serif"], False, 95.0),
+        ("Plain words that say something.", box, 10.0, ["Serif"], False, 0.0),
+    ]
+    d = spark.createDataFrame(data, s)
+    c = C.block_class(F.col("text"), F.col("bbox"), F.lit(600.0), F.lit(800.0), F.col("size"), F.lit(10.0), F.col("fonts"), F.col("code"), F.col("outline"))
+    assert [r[0]["kind"] for r in d.select(c).collect()] == ["caption", "note", "code", "footnote", "equation", "list_item", "heading", "heading", "paragraph"]
+
+
+def test_regions_outlines_and_contexts(spark, rows):
+    b = spark.createDataFrame([("p", 1, 1, "a", "paragraph", (0.0, 0.0, 10.0, 10.0)), ("p", 1, 2, "f", "figure", (0.0, 0.0, 10.0, 8.0)), ("p", 1, 3, "c", "caption", (0.0, 12.0, 10.0, 14.0)), ("p", 1, 4, "d", "caption", (0.0, 20.0, 10.0, 24.0))], "project_id string, page int, ord int, block_id string, kind string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    assert {r["block_id"] for r in layout.outside(b.where("kind <> 'figure'"), b.where("kind = 'figure'")).collect()} == {"c", "d"}
+    assert rows(layout.caption_regions(b)) == [("f", "c")]
+    o = spark.createDataFrame([("p", 2, 3, "B"), ("p", 1, 3, "A"), ("p", 3, 0, "no page")], "project_id string, ord int, page int, title string")
+    assert rows(layout.outline(o)) == [("p", 3, ["A", "B"])]
+    u = linear(spark, 5, u2={"side": "s"}, u4={"side": "s"})
+    pages = spark.createDataFrame([("p", 2)], "project_id string, page int")
+    assert ids(layout.context_units(u, pages)) == [2, 3, 4]
+
+
+def test_only_one_fenced_object_is_taken():
+    assert documents.only_fenced_json('Here:\n```json\n{"a": 1}\n```\ndone {x}') == {"a": 1}
+    for bad in ('{"a": 1}', '```json\n[1]\n```', '```json\n{"a": 1}\n```\n{"b": 2}', "```json\n{}\n```\n```json\n{}\n```", "```xml\n{}\n```"):
+        with pytest.raises(ValueError):
+            documents.only_fenced_json(bad)
