@@ -4,7 +4,7 @@ The rows of an entity are folded by a higher-order function over a sorted array
 structs that appends a version only when the state changes.  So that one entity may own
 any share of the rows, the fold runs over *chunks*: the rows are range-partitioned by
 (entity, time), a chunk is what one entity owns in one range partition, and neighbouring
-chunks are stitched by a window over one summary row per chunk.  No array is longer than
+chunks are stitched by a window over one narrow row per chunk and joined back to their runs.  No array is longer than
 a range partition, whatever the skew.
 """
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkweave.sources.scratch import cut
+
 OPEN_END = -1
 
 
@@ -56,17 +58,23 @@ def versions(
         .agg(F.array_sort(F.collect_list(F.struct("t", "state"))).alias("rows"))
         .select("k", "chunk", _fold(F.col("rows")).alias("runs"))
     )
-    per = Window.partitionBy("k").orderBy("chunk")
-    before = F.lag(F.element_at("runs", -1)["state"]).over(per)
-    first = F.lag(F.lit(True)).over(per).isNull()
-    merged = ~first & F.element_at("runs", 1)["state"].eqNullSafe(before)
-    own = chunks.withColumn("merged", merged).withColumn(
-        "runs", F.when(F.col("merged"), F.slice("runs", 2, F.size("runs"))).otherwise(F.col("runs"))
+    chunks = cut(chunks)
+    edges = chunks.select(
+        "k", "chunk",
+        F.col("runs")[0]["state"].alias("first"),
+        F.element_at("runs", -1)["state"].alias("last"),
+        F.col("runs")[0]["t"].alias("t1"),
+        F.get("runs", F.lit(1))["t"].alias("t2"),
     )
-    starts = F.when(F.size("runs") > 0, F.element_at("runs", 1)["t"])
-    later = Window.partitionBy("k").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)
-    ended = own.where(F.lit(True)).withColumn("next", F.first(starts, ignorenulls=True).over(later))
-    ends = F.concat(F.transform(F.slice("runs", 2, F.size("runs")), lambda r: r["t"]), F.array("next"))
+    per = Window.partitionBy("k").orderBy("chunk")
+    goes_on = F.coalesce(F.lag(F.lit(True)).over(per), F.lit(False)) & F.col("first").eqNullSafe(F.lag("last").over(per))
+    edges = edges.withColumn("merged", goes_on)
+    later = per.rowsBetween(1, Window.unboundedFollowing)
+    start = F.when(F.col("merged"), F.col("t2")).otherwise(F.col("t1"))
+    links = edges.select("k", "chunk", "merged", F.first(start, ignorenulls=True).over(later).alias("next"))
+    own = F.when(F.col("merged"), F.slice("runs", F.lit(2), F.size("runs"))).otherwise(F.col("runs"))
+    ended = chunks.join(links, ["k", "chunk"]).select("k", own.alias("runs"), "next")
+    ends = F.concat(F.transform(F.slice("runs", F.lit(2), F.size("runs")), lambda r: r["t"]), F.array("next"))
     return (
         ended.where(F.size("runs") > 0)
         .select("k", F.explode(F.arrays_zip(F.col("runs").alias("run"), ends.alias("until"))).alias("x"))
