@@ -4,7 +4,7 @@ A text is scanned for *containers*: a construct with its markup language, a gene
 path (element and class, digits masked) and a score for how much it looks like markup
 rather than prose (closed, attributed, self-closing).  The paths are voted on per host
 (project) in Spark; a path wins where the votes of the host's records, together with the
-prior of the language's own element names, are positive.  The winning paths decide which
+prior of the language's own element names, are positive, however many votes there are.  The winning paths decide which
 containers count as residue and are used again to extract the clean text, so that
 ``List<int>`` in one host and ``<i>`` left open in another are told apart by what the
 host's other records do.
@@ -34,6 +34,8 @@ TEXT_COMMANDS = frozenset(
 )
 
 PRIOR = 3.0
+#: Weight of a path's mean score against a negative prior; the same for any number of rows.
+WEIGHT = 6.0
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n`]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _LONE_FENCE = re.compile(r"^[ \t]*(?:```+|~~~+)", re.M)
@@ -182,11 +184,15 @@ def scan(records: DataFrame, keys: list[str], host: str, field: str, text: str)
 
 
 def winning_paths(scanned: DataFrame) -> DataFrame:
-    """``host, language, path`` that win the vote of their host: prior plus the records' mean score."""
+    """``host, language, path`` that win the vote of their host, by prior and the records' mean score.
+
+    A path that the language knows wins, closed or not; another one wins where the mean score
+    outweighs its prior.  Neither depends on how often the host has the path.
+    """
     return (
         scanned.groupBy("host", "language", "path")
         .agg(F.sum("score").alias("score"), F.sum("n").alias("n"), F.max("prior").alias("prior"))
-        .where(F.col("prior") + F.col("score") / F.col("n") * F.log2(1 + F.col("n")) > 0)
+        .where((F.col("prior") > 0) | (F.col("prior") + WEIGHT * F.col("score") / F.col("n") > 0))
         .select("host", "language", "path")
     )
 

@@ -93,6 +93,14 @@ def test_residue_votes_by_host(spark, rows):
     assert markup.residue(df.limit(0), ["unit_id"], "project_id", "field", "text").count() == 0
 
 
+def test_votes_do_not_depend_on_the_number_of_rows(spark):
+    for n in (1, 7, 70, 700):
+        data = [(f"{t}{i}", "h", "target_text", x) for i in range(n) for t, x in (("i", "an <i>open one"), ("g", "List<int> x"), ("c", "<note>a</note>"))]
+        df = spark.createDataFrame(data, "unit_id string, project_id string, field string, text string")
+        got = {r["unit_id"] for r in markup.residue(df, ["unit_id"], "project_id", "field", "text").collect()}
+        assert got == {f"{t}{i}" for i in range(n) for t in "ic"}
+
+
 def test_clean_keeps_structure():
     text = "<h2>Head</h2>\n<ul><li>one</li><li>two</li></ul> {\\it x} \\cite{k} '''b''' [[a|c]] $x<y$\n```\n<b>\n```"
     out = markup.clean(text)
