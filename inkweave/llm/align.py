@@ -13,6 +13,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ LLR_LEAST = 12.0
 TRANSLATIONS = 8
 #: Counted cells and pairs that a worker holds before it hands its partial counts on.
 HELD_CELLS, HELD_PAIRS = 12_000_000, 2_000_000
+#: Cells in a batch that a worker hands on.
+OUT_CELLS = 200_000
 #: Largest lexicon (entries) that is broadcast; beyond it each unit gets its slice by a join.
 BROADCAST_ENTRIES = 400_000
 NULL_SCORE = 0.30
@@ -65,30 +68,29 @@ def anchors(text: str) -> set[str]:
 def cooccurrence(units: DataFrame) -> DataFrame:
     """``pair, s, t, n``: counts over ``units(pair, source_text, target_text)``; s or t 0 is a margin.
 
-    Cells that a worker saw no more often than chance (times 1.5) are not handed on: they can
-    only belong to pairs that the association test refuses.
+    Every cell is handed on, so that the sums don't depend on how the units are partitioned.
     """
 
-    def run(rows):
+    def run(arrived):
         state: dict[str, dict] = {}
+        rows = (row for batch in arrived for row in zip(*[c.to_pylist() for c in batch.columns]))
+
+        def batches(pair, s, t, n):
+            for i in range(0, len(n), OUT_CELLS):
+                m = len(n[i : i + OUT_CELLS])
+                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(m, dtype=np.int32)), pa.array([pair], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names, *(pa.array(x[i : i + OUT_CELLS]) for x in (s, t, n))], names=["pair", "s", "t", "n"])
 
         def emit(pair, st):
             settle(st)
-            ns, nt = len(st["s"]), len(st["t"])
-            count = st["m"][:ns, :nt]
-            a, b = np.array(st["ns"], dtype=np.int64), np.array(st["nt"], dtype=np.int64)
-            total = st["n"]
-            keys_s, keys_t = list(st["s"]), list(st["t"])
-            hs, ht = [_hash(k) for k in keys_s], [_hash(k) for k in keys_t]
-            yield pair, 0, 0, total
-            for h, n in zip(hs, a.tolist()):
-                yield pair, h, 0, n
-            for h, n in zip(ht, b.tolist()):
-                yield pair, 0, h, n
-            for i in range(ns):
-                row = count[i]
-                for j in np.nonzero(row * total > 1.5 * a[i] * b)[0].tolist():
-                    yield pair, hs[i], ht[j], int(row[j])
+            count = st["m"][: len(st["s"]), : len(st["t"])]
+            hs, ht = (np.fromiter(map(_hash, st[side]), dtype=np.int64, count=len(st[side])) for side in "st")
+            zs, zt = np.zeros_like(hs), np.zeros_like(ht)
+            yield from batches(pair, np.concatenate([[0], hs, zt]), np.concatenate([[0], zs, ht]), np.concatenate([[st["n"]], st["ns"], st["nt"]]).astype(np.int64))
+            step = max(1, OUT_CELLS // max(1, len(ht)))
+            for k in range(0, len(hs), step):
+                i, j = np.nonzero(count[k : k + step])
+                yield from batches(pair, hs[k + i], ht[j], count[k + i, j].astype(np.int64))
 
         def settle(st):
             if st["held"]:
@@ -129,16 +131,16 @@ def cooccurrence(units: DataFrame) -> DataFrame:
         for k in list(state):
             yield from emit(k, state.pop(k))
 
-    return map_rows(units.select("pair", "source_text", "target_text"), run, "pair string, s bigint, t bigint, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
+    return units.select("pair", "source_text", "target_text").mapInArrow(run, "pair string, s bigint, t bigint, n bigint").groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
 
 
 def lexicon(units: DataFrame) -> DataFrame:
     """``pair, s, t, weight, u``: the best translations of each word type and its information."""
-    counts = cooccurrence(units).persist()
+    counts = cooccurrence(units).where("s = 0 OR t = 0 OR n > 1").persist()
     total = counts.where("s = 0 AND t = 0").select("pair", F.col("n").alias("total"))
     ns = counts.where("s <> 0 AND t = 0").select("pair", "s", F.col("n").alias("ns"))
     nt = counts.where("s = 0 AND t <> 0").select("pair", "t", F.col("n").alias("nt"))
-    cells = counts.where("s <> 0 AND t <> 0 AND n > 1").join(ns, ["pair", "s"]).join(nt, ["pair", "t"]).join(F.broadcast(total), "pair")
+    cells = counts.where("s <> 0 AND t <> 0").join(ns, ["pair", "s"]).join(nt, ["pair", "t"]).join(F.broadcast(total), "pair")
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -273,7 +275,7 @@ class Scorer:
         return sorted(links)
 
     def _tops(self) -> dict[int, float]:
-        """Best weight by target type; made once."""
+        """Best weight by target type; made once, unless the table is a slice and they were given."""
         if not hasattr(self, "tops"):
             tops: dict[int, float] = {}
             for entries in self.table.values():
@@ -331,19 +333,30 @@ def align(units: DataFrame, key: str) -> DataFrame:
 
         return map_rows(base, run, schema).distinct()
 
-    def types(it):
-        for k, pair, source, _ in it:
-            for token in lexical(source):
-                yield k, pair, _hash(token)
+    def types(side):
+        def run(it):
+            for k, pair, text in it:
+                for token in set().union(*(lexical(_TAG.sub(" ", x)) for x in cut(text))):
+                    yield k, pair, _hash(token)
+
+        return map_rows(base.select(key, "pair", f"{side}_text"), run, f"k {type_}, pair string, {side[0]} bigint").distinct()
+
+    def entries(x: DataFrame, *columns: str) -> DataFrame:
+        return x.groupBy("k").agg(F.collect_list(F.struct(*columns)).alias(columns[0]))
 
-    own = map_rows(base, types, f"k {type_}, pair string, s bigint").join(lex, ["pair", "s"]).groupBy("k").agg(F.collect_list(F.struct("pair", "s", "t", "weight", "u", "v")).alias("lex"))
+    # A slice holds the entries of the unit's source types, and what the whole lexicon has of its target types.
+    known = lex.groupBy("pair", "t").agg(F.max("v").alias("v"), F.max("weight").alias("top"))
+    own = entries(types("source").join(lex, ["pair", "s"]), "pair", "s", "t", "weight", "u", "v").withColumnRenamed("pair", "lex")
+    theirs = entries(types("target").join(known, ["pair", "t"]), "t", "v", "top").withColumnsRenamed({"t": "known", "k": "k2"})
 
     def sliced(it):
-        for k, pair, source, target, entries in it:
+        for k, pair, source, target, mine, known in it:
             a, b = cut(source), cut(target)
             if a and b:
-                scorer = _scorers(tuple(e.values()) for e in entries or ()).get(pair) or Scorer({}, {}, {}, {})
+                scorer = _scorers(tuple(e.values()) for e in mine or ()).get(pair) or Scorer({}, {}, {}, {})
+                scorer.v, scorer.tops = {e["t"]: e["v"] for e in known or ()}, {e["t"]: e["top"] for e in known or ()}
                 for i, j in scorer.links(a, b):
                     yield k, i + 1, j + 1
 
-    return map_rows(base.join(own, base[key] == own.k, "left").select(key, base.pair, "source_text", "target_text", "lex"), sliced, schema).distinct()
+    joined = base.join(own, base[key] == own.k, "left").join(theirs, base[key] == theirs.k2, "left")
+    return map_rows(joined.select(key, base.pair, "source_text", "target_text", "lex", "known"), sliced, schema).distinct()

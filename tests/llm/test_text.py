@@ -197,6 +197,33 @@ def test_alignment_by_joined_slices_is_the_same(spark, monkeypatch):
     assert {tuple(r) for r in align.align(df, "unit_id").collect()} == a
 
 
+def thin_units():
+    rnd = random.Random(7)
+    words = [(f"{a}{b}a", f"{b}{a}ov") for a in "bdfgklmnprst" for b in "aeiou"]
+    units = []
+    for i in range(120):
+        picked = [[rnd.choice(words) for _ in range(5)] for _ in range(2)]
+        lines = [" ".join(t for _, t in p) for p in picked[:: -1 if i % 3 else 1]]
+        units.append((f"u{i}", "x>y", " ".join("it " * (i % 5 < 4) + " ".join(s for s, _ in p) + "." for p in picked).title(), " ".join("ti " * (i % 5 < 4) + x + "." for x in lines).title()))
+    return units
+
+
+def test_lexicon_counts_do_not_depend_on_partitions(spark, rows):
+    df = spark.createDataFrame(thin_units(), "unit_id string, pair string, source_text string, target_text string")
+    one, many = (rows(align.cooccurrence(df.repartition(n, "unit_id"))) for n in (1, 100))
+    assert one == many and any(s and t for _, s, t, _ in one)
+    assert rows(align.lexicon(df.repartition(100, "unit_id")).select("pair", "s", "t")) == rows(align.lexicon(df.repartition(1)).select("pair", "s", "t"))
+
+
+def test_slices_hold_the_whole_lexicon_s_weights(spark, monkeypatch):
+    df = spark.createDataFrame(thin_units(), "unit_id string, pair string, source_text string, target_text string").repartition(2)
+    seen = []
+    for limit in (400_000, 0):
+        monkeypatch.setattr(align, "BROADCAST_ENTRIES", limit)
+        seen.append({tuple(r) for r in align.align(df, "unit_id").collect()})
+    assert seen[0] == seen[1] and seen[0]
+
+
 # -- pairs
 
 
