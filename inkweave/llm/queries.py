@@ -58,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_reflowed(spark: SparkSession, d: str) -> DataFrame:
-    return scan.reflow(_scanned(spark, d).groupBy("record_id").agg(F.first("page").alias("page"), F.first("text").alias("text")))
+    return scan.reflow(scan.repaired(_scanned(spark, d)))
 
 
 def _verified(spark: SparkSession, d: str) -> DataFrame:

@@ -152,17 +152,17 @@ def corrections(counts: DataFrame) -> DataFrame:
     return left.unionByName(right).unionByName(noisy).distinct()
 
 
-def misread_ideographs(text: str, pairs: dict[str, int]) -> list[int]:
-    """Positions in ``text`` of ideographs whose look-alike is what the context supports."""
-    out = []
+def misread_ideographs(text: str, pairs: dict[str, int]) -> dict[int, str]:
+    """Positions in ``text`` of ideographs whose look-alike is what the context supports, and the look-alike."""
+    out = {}
     for m in _MISREAD_CJK.finditer(text):
         i, c = m.start(), m.group()
         a, b = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
         mine = pairs.get(a + c, 0) + pairs.get(c + b, 0)
         stronger = max(pairs.get(a + c, 0), pairs.get(c + b, 0))
-        theirs = max(pairs.get(a + meant, 0) + pairs.get(meant + b, 0) for meant in IDEOGRAPHS[c])
+        theirs, meant = max((pairs.get(a + meant, 0) + pairs.get(meant + b, 0), meant) for meant in IDEOGRAPHS[c])
         if theirs >= LEAST and theirs >= 4 * mine and stronger * 4 <= theirs:
-            out.append(i)
+            out[i] = meant
     return out
 
 
@@ -194,6 +194,10 @@ def furniture(line: str, page: int | None) -> tuple[bool, str | None, bool]:
     return False, ("\x01" if chapter or _TITLE.fullmatch(title) else "") + key, own
 
 
+def _marginal(lines: list[str], y0: float | None, height: float | None) -> bool:
+    return y0 is not None and bool(height) and (y0 < MARGIN * height or y0 > (1 - MARGIN) * height) and len(lines) == 1
+
+
 def found(records: DataFrame) -> DataFrame:
     """``record_id, noise`` of ``records(record_id, project_id, page, kind, text, y0, height)``.
 
@@ -219,7 +223,7 @@ def found(records: DataFrame) -> DataFrame:
         for record_id, project, page, kind, text, y0, height in rows:
             prose = kind not in ("code", "equation", "table")
             lines = text.split("\n")
-            marginal = y0 is not None and height and (y0 < MARGIN * height or y0 > (1 - MARGIN) * height) and len(lines) == 1
+            marginal = _marginal(lines, y0, height)
             if marginal or len(lines) > 1 and prose:
                 for line in lines:
                     number, key, own = furniture(line, page)
@@ -271,8 +275,16 @@ def _breaks(scanned: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _heads(scanned: DataFrame, base: DataFrame) -> DataFrame:
-    """Lines that name a chapter, or repeat on several pages of the project as titles do."""
-    lines = scanned.where("noise = 'head'").select("record_id", "project_id", F.ltrim(F.lit("\x01"), "a").alias("key"), F.col("a").startswith("\x01").alias("chapter"), F.col("b").isNotNull().alias("own"), "page")
+    """Records whose lines name a chapter, or repeat on several pages of the project as titles do."""
+    head = _judged(scanned, base)
+    names = head.select("record_id", F.lit("header").alias("noise"))
+    numbers = head.where("own").select("record_id", F.lit("page_number").alias("noise"))
+    return names.unionByName(numbers)
+
+
+def _judged(scanned: DataFrame, base: DataFrame, *more: str) -> DataFrame:
+    """``record_id, own, *more`` of the lines that are running heads."""
+    lines = scanned.where("noise = 'head'").select("record_id", "project_id", F.ltrim(F.lit("\x01"), "a").alias("key"), F.col("a").startswith("\x01").alias("chapter"), F.col("b").isNotNull().alias("own"), "page", *more)
     titles = (
         base.where((F.col("kind") == "heading") & (F.coalesce(F.col("y0") >= MARGIN * F.col("height"), F.lit(True))) & ~F.col("text").contains("\n") & (F.length("text") <= 90))
         .select("project_id", F.lower(F.regexp_replace(F.regexp_replace(F.trim("text"), r"\d+", "#"), "\x01", "")).alias("key"))
@@ -281,10 +293,106 @@ def _heads(scanned: DataFrame, base: DataFrame) -> DataFrame:
     )
     pages = lines.where(F.length("key") > 2).groupBy("project_id", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("project_id", "key", F.lit(True).alias("repeated"))
     judged = lines.join(titles, ["project_id", "key"], "left").join(pages, ["project_id", "key"], "left")
-    head = judged.where(F.col("chapter") | F.coalesce("title", "repeated", F.lit(False)))
-    names = head.select("record_id", F.lit("header").alias("noise"))
-    numbers = head.where("own").select("record_id", F.lit("page_number").alias("noise"))
-    return names.unionByName(numbers)
+    return judged.where(F.col("chapter") | F.coalesce("title", "repeated", F.lit(False))).select("record_id", "own", *more)
+
+
+def meant_forms(counts: DataFrame) -> DataFrame:
+    """``form, meant``: the most frequent correction of a form; ``-`` and a word stands for one known with its hyphen alone."""
+    words = counts.where("kind = 'w'").groupBy("form").agg(F.max("n").alias("n"))
+    fixes = corrections(counts).join(words.withColumnRenamed("form", "meant"), "meant").groupBy("form").agg(F.max(F.struct("n", "meant"))["meant"].alias("meant"))
+    lower = words.select(F.lower("form").alias("form")).distinct()
+    hyphened = lower.where(F.col("form").rlike("^[^-]+-[^-]+$")).select("form", F.regexp_replace("form", "-", "").alias("whole"))
+    kept = hyphened.join(lower.select(F.col("form").alias("whole")), "whole", "left_anti").select(F.concat(F.lit("-"), "form").alias("form"), F.col("form").alias("meant"))
+    return fixes.unionByName(kept)
+
+
+def mend(text: str, meant: dict[str, str], pairs: dict[str, int]) -> str:
+    """Broken words joined, misread words and ideographs replaced by what is ``meant``."""
+
+    def join(m: re.Match[str]) -> str:
+        a, sign, b = m.groups()
+        if not b[0].islower():
+            return m.group()
+        return f"{a}-{b}" if sign == "-" and f"-{a}-{b}".lower() in meant else a + b
+
+    def word(m: re.Match[str]) -> str:
+        form = m.group()
+        out = meant.get(form, form)
+        return out[0].upper() + out[1:] if form[0].isupper() else out
+
+    while "\n" in text and _MAY_BREAK.search(text):
+        before, text = text, _BREAK.sub(join, text)
+        if text == before:
+            break
+    text = _WORD.sub(word, text)
+    if _MISREAD_CJK.search(text):
+        flat = _ideographs(text)
+        wrong = misread_ideographs(flat, pairs)
+        if wrong:
+            dropped = {i for m in _NEWLINE_CJK.finditer(text) for i in range(*m.span())}
+            places = [i for i in range(len(text)) if i not in dropped]
+            letters = list(text)
+            for i, c in wrong.items():
+                letters[places[i]] = c
+            text = "".join(letters)
+    return text
+
+
+def repaired(records: DataFrame) -> DataFrame:
+    """``record_id, page, text`` of ``records`` as for ``found``, one row each, without the noise that it finds.
+
+    Lines that are running heads or page numbers are dropped (a text that holds nothing else
+    is null), broken words are joined by the vocabulary, misread ones replaced.
+    """
+    base = records.where(F.length("text") > 0).groupBy("record_id").agg(F.first(F.struct("project_id", "page", "kind", "text", "y0", "height")).alias("r")).select("record_id", "r.*").persist()
+    # The vocabulary is that of ``found``, repeated rows included.
+    counts = counted(records.where((F.length("text") > 0) & ~F.col("kind").isin("code", "equation", "table")), "text").persist()
+    spark = records.sparkSession
+    bigrams = spark.sparkContext.broadcast({r["form"]: r["n"] for r in counts.where("kind = 'c' AND n > 1").select("form", "n").toLocalIterator()})
+    forms = meant_forms(counts).persist()
+    table = forms.limit(BROADCAST_FORMS + 1).collect()
+    shared = spark.sparkContext.broadcast({r["form"]: r["meant"] for r in table} if len(table) <= BROADCAST_FORMS else None)
+
+    def lines_of(rows):
+        for record_id, project, page, kind, text, y0, height in rows:
+            lines = text.split("\n")
+            if _marginal(lines, y0, height) or len(lines) > 1 and kind not in ("code", "equation", "table"):
+                for no, line in enumerate(lines):
+                    number, key, own = furniture(line, page)
+                    if number:
+                        yield record_id, "page_number", None, None, None, page, no
+                    elif key is not None:
+                        yield record_id, "head", project, key, "own" if own else None, page, no
+
+    scanned = map_rows(base, lines_of, "record_id string, noise string, project_id string, a string, b string, page int, no int").persist()
+    gone = scanned.where("noise = 'page_number'").select("record_id", "no").unionByName(_judged(scanned, base, "no").select("record_id", "no")).groupBy("record_id").agg(F.collect_set("no").alias("gone"))
+    lines = F.split("text", "\n")
+    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).when(F.size(left) > 0, F.array_join(left, "\n"))
+    marginal = F.coalesce((F.col("height") != 0) & ((F.col("y0") < MARGIN * F.col("height")) | (F.col("y0") > (1 - MARGIN) * F.col("height"))) & (F.size(lines) == 1), F.lit(False))
+    sound = F.coalesce(F.col("kind").isin("code", "equation", "table"), F.lit(False)) | marginal
+    stripped = base.join(gone, "record_id", "left").select("record_id", "page", text.alias("text"), sound.alias("sound"))
+    none = F.lit(None).cast("map<string,string>")
+    if shared.value is None:
+
+        def candidates(rows):
+            for record_id, t in rows:
+                breaks = [a + "-" + b for a, _, b in _BREAK.findall(t)]
+                for w in {*_WORD.findall(_BREAK.sub(r"\1\3", t)), *_WORD.findall(t), *breaks, *("-" + x.lower() for x in breaks)}:
+                    yield record_id, w
+
+        own = map_rows(stripped.where(~F.col("sound") & F.col("text").isNotNull()).select("record_id", "text"), candidates, "record_id string, form string").join(forms, "form")
+        stripped = stripped.join(own.distinct().groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("form", "meant"))).alias("meant")), "record_id", "left")
+    else:
+        stripped = stripped.withColumn("meant", none)
+
+    def run(rows):
+        everywhere, pairs = shared.value, bigrams.value
+        for record_id, page, t, sound, own in rows:
+            meant = everywhere if everywhere is not None else dict(own or ())
+            yield record_id, page, t if t is None or sound else mend(t, meant, pairs)
+
+    return map_rows(stripped.select("record_id", "page", "text", "sound", "meant"), run, "record_id string, page int, text string")
 
 
 def reflow(records: DataFrame) -> DataFrame:

@@ -326,6 +326,34 @@ def test_scan_noise(spark):
     assert text["h1"] == "The visible renderer is near." and text["n1"] == "The window is near." and "e1" not in text
 
 
+def scanned_pages(spark):
+    clean = "The visible renderer holds the window near the external margin"
+    data = [(f"c{i}", "p", 900 + i, "paragraph", clean + ".\nIt is a two-step plan.\n\u56fd\u5916\u6570\u636e\u3002", None, None) for i in range(30)]
+    data += [
+        ("h1", "p", 1, "paragraph", "The visible ren-\nderer is near.", None, None),
+        ("h2", "p", 1, "paragraph", "It is a two-\nstep plan.", None, None),
+        ("m1", "p", 2, "paragraph", "The externa1 window.", None, None),
+        ("n2", "p", 33, "paragraph", "The visible ren-\n33 | Chapter 4\nderer is near.", None, None),
+        ("k1", "p", 34, "paragraph", "Local Window and Margin", 30.0, 800.0),
+        ("k2", "p", 35, "heading", "Local Window and Margin", 80.0, 800.0),
+        ("z1", "p", 36, "paragraph", "\u56fd\u5904\n\u6570\u636e\u3002", None, None),
+        ("e1", "p", 36, "paragraph", None, None, None),
+        ("x1", "p", 37, "code", "externa1 = 1", None, None),
+    ]
+    return spark.createDataFrame(data, "record_id string, project_id string, page int, kind string, text string, y0 double, height double")
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_reflow_repairs_what_is_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(scan, "BROADCAST_FORMS", limit)
+    df = scanned_pages(spark)
+    text = {r["record_id"]: r["text"] for r in scan.reflow(scan.repaired(df.unionAll(df))).collect()}
+    assert text["h1"] == "The visible renderer is near." and text["h2"] == "It is a two-step plan."
+    assert text["m1"] == "The external window." and text["n2"] == "The visible renderer is near."
+    assert "k1" not in text and text["k2"] == "Local Window and Margin" and "e1" not in text
+    assert text["z1"] == "\u56fd\u5916\u6570\u636e\u3002" and text["x1"] == "externa1 = 1"
+
+
 # -- mixing
 
 
