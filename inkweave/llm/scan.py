@@ -240,12 +240,12 @@ def found(records: DataFrame) -> DataFrame:
                         a, b = m.group(1), m.group(3)
                         yield record_id, "break", None, a + "-" + b, (a + b) if m.group(2) == "-" else None, page
             whole = _BREAK.sub(r"\1\3", text) if broken else text
+            if _stray(whole) or forms is not None and any(w in forms for w in _WORD.findall(whole)):
+                yield record_id, "misread", None, None, None, page
+                continue
             if forms is None:
                 for w in set(_words(whole)):
                     yield record_id, "word", None, w, None, page
-            elif any(w in forms for w in _WORD.findall(whole)) or _stray(whole):
-                yield record_id, "misread", None, None, None, page
-                continue
             if _MISREAD_CJK.search(whole) and misread_ideographs(_ideographs(whole), pairs):
                 yield record_id, "misread", None, None, None, page
 

@@ -343,6 +343,14 @@ def scanned_pages(spark):
     return spark.createDataFrame(data, "record_id string, project_id string, page int, kind string, text string, y0 double, height double")
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_strays_are_found_with_any_number_of_forms(spark, monkeypatch, limit):
+    monkeypatch.setattr(scan, "BROADCAST_FORMS", limit)
+    data = [("s1", "p", 1, "paragraph", "An unseen wor|d here.", None, None), ("s2", "p", 1, "paragraph", "An unseen word here.", None, None)]
+    df = spark.createDataFrame(data, "record_id string, project_id string, page int, kind string, text string, y0 double, height double")
+    assert {tuple(r) for r in scan.found(df).collect()} == {("s1", "misread")}
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_reflow_repairs_what_is_found(spark, monkeypatch, limit):
     monkeypatch.setattr(scan, "BROADCAST_FORMS", limit)
