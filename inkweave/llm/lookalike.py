@@ -159,6 +159,16 @@ def canonical(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     return map_rows(base.join(fixes, "id", "left"), run, f"`{id_col}` {id_type}, canonical string")
 
 
+def canonical_fields(members: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``*keys, canonical``: the consistent form of the texts of all fields, by one vocabulary.
+
+    Equal texts are one row until the forms are known; repeated rows give one row, null texts null.
+    """
+    m = members.select(*keys, F.md5(text).alias("h"), F.col(text).alias("t"))
+    texts = m.where(F.col("h").isNotNull()).groupBy("h").agg(F.first("t").alias("t"))
+    return m.drop("t").distinct().join(canonical(texts, "h", "t"), "h", "left").select(*keys, "canonical")
+
+
 def alike_pairs(members: DataFrame) -> DataFrame:
     """``field, unit_a, unit_b`` of ``members(field, unit_id, text)``: equal in print, not in characters.
 

@@ -22,8 +22,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
-    units = table(spark, d, "source_units").groupBy("unit_id").agg(F.min("source_text").alias("text"))
-    return lookalike.canonical(units, "unit_id", "text")
+    keys = ["unit_id", "revision"]
+    units = table(spark, d, "source_units").groupBy("unit_id").agg(F.min("source_text").alias("source_text")).withColumn("revision", F.lit(0))
+    records = table(spark, d, "translation_history").groupBy(*keys).agg(F.min("target_text").alias("target_text"))
+    both = _field(units, "source_text", *keys).unionByName(_field(records, "target_text", *keys))
+    return lookalike.canonical_fields(both, ["field", *keys], "text")
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:

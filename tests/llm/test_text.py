@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkweave.llm import align, cutoff, leak, lookalike, markup, mix, pairs, scan
+from inkweave.llm import align, cutoff, leak, lookalike, markup, mix, pairs, queries, scan
 from inkweave.llm.sentences import sentence_ends, sentences, split_table
 
 
@@ -59,6 +59,15 @@ def test_repair_needs_the_vocabulary(spark, rows):
     assert rows(lookalike.canonical(t, "id", "text")) == [(1, "paper"), (2, "z\u043erk"), (3, "paper"), (4, None), (5, "")]
 
 
+def test_canonical_covers_both_fields_by_one_vocabulary(spark, rows, tmp_path):
+    units = [("u1", "a p\u0430per"), ("u2", None)]
+    records = [("u1", 1, "paper"), ("u1", 2, "p\u0430per\u00a0x"), ("u1", 2, "p\u0430per\u00a0x"), ("u2", 1, None)]
+    spark.createDataFrame(units, "unit_id string, source_text string").write.parquet(f"{tmp_path}/source_units.parquet")
+    spark.createDataFrame(records, "unit_id string, revision int, target_text string").write.parquet(f"{tmp_path}/translation_history.parquet")
+    got = rows(queries.p1_canonical(spark, str(tmp_path)))
+    assert got == sorted([("source_text", "u1", 0, "a paper"), ("source_text", "u2", 0, None), ("target_text", "u1", 1, "paper"), ("target_text", "u1", 2, "paper x"), ("target_text", "u2", 1, None)], key=repr)
+
+
 # -- markup
 
 
