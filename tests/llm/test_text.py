@@ -269,17 +269,6 @@ def test_lcs(a, b):
 # -- leaks
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abc", max_size=14), st.text(alphabet="abc", max_size=14))
-def test_edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    assert leak.edit_distance(a, b, 99) == row[-1]
-
-
 def test_leaks(spark, rows):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
