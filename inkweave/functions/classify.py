@@ -14,10 +14,50 @@ EQUATION_SIGN = r"[=∑∫√∂∇±≤≥∞ρτλσνε]|\b(?:Re|PDF)\s*[=<>]
 TERMINAL = r"[.!?。！？:：;；][\"'”’）)\]]*$"
 CONTINUING = r"^(?:[a-z]|and\b|or\b|but\b|which\b|that\b|with\b)"
 CODE_START = r"(?m)^\s*using\s+[\w.]+\s*;\s*$|^\s*(?:(?:public|private|protected|internal)\s+)?(?:class|interface|enum|namespace)\s+\w+|^\s*(?:public|private|protected|internal)\s+[^.!?\n]+[;{]\s*$|^\s*(?:while|for|foreach|if)\s*\(|^\s*(?:xmlns[:A-Za-z0-9]*|x:(?:Class|TypeArguments))\s*="
+MONOSPACE = r"courier|consol|typewriter|lucida ?console|mono(?:spaced?|[-_ ]|$)"
 MARGIN_HEAD = r"^[■▪●]?\s*[A-Z][A-Z0-9 .&:;–—-]{2,}$"
 MARGIN_NUMBER = r"(?i)^(?:(?:page\s*)?\d+|[ivxlcdm]+)$"
 
 
+# What tells a listing from prose.
+CODE_LINE = (
+    r"(?m)^\s*(?:(?:public|private|protected|internal|static|async|override|virtual|new)\s+\w|(?:namespace|class|interface|enum|struct|delegate|record)\s+\w|"
+    r"(?:using|return|throw|yield|await|lock|fixed)\s|(?:void|var|string|int|bool|byte|char|decimal|double|float|long|object)\s+[A-Za-z_]|"
+    r"(?:while|for|foreach|if|switch|catch|using)\s*\(|try\s*\{|else\b|xmlns|x:\w+=|//|/\*|</?[A-Za-z]|\})"
+)
+DECLARATION = (
+    r"(?m)^\s*(?:(?:public|private|protected|internal|static|partial|sealed|abstract|readonly|unsafe|new)\s+)*"
+    r"(?:class|interface|enum|struct|delegate|record)\s+[A-Za-z_]\w*(?:\s*<[^>\n]+>)?\s*(?:[:{]|$)"
+)
+CODE_SIGN = r"[;{}=<>]|://|\(\)|=>"
+API_CALL = r"\bnew\s+[A-Za-z_]|\w+\.\w+\s*=|\w+\.\w+\("
+ATTRIBUTE = r"^(?:xmlns[:A-Za-z0-9]*=|x:[A-Za-z]+=)"
+PROSE_WORD = r"(?i)\b(?:the|this(?!\s*\.)|that|you|your|when|which|however|because|although|unfortunately|instead|imagine|consider|remember)\b"
+INDEX_ENTRY = r",\s*\d+(?:\s*[–-]\s*\d+)?\b"
+INDEX_WORD = r"(?i)\b(?:class|document|field|method|object|operation|propert)"
+MARKUP_LISTING = r"(?s)</?[A-Za-z][^>]*(?:=|/)[^>]*>|<([A-Za-z]\w*)[^>]*>.*</\1\s*>"
+LISTING_OPENS = r"^(?://|/\*|if |while |for |foreach )"
+
+
+def is_program_code(c: Column) -> Column:
+    """A listing rather than prose, from what its lines show; null and blank texts are none."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    line = F.regexp_replace(t, r"\s+", " ")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    closed = F.size(F.filter(lines, lambda x: x.rlike(r";|[{}]$")))
+    prose, api = line.rlike(PROSE_WORD), t.rlike(API_CALL)
+    index = (F.size(F.regexp_extract_all(line, F.lit(INDEX_ENTRY), F.lit(0))) >= 2) & line.rlike(INDEX_WORD)
+    tagged_prose = t.startswith("<") & ~t.rlike(MARKUP_LISTING)
+    explains = prose & ((line.rlike(r"[.?!]$") & ~t.rlike(LISTING_OPENS)) | (closed < F.greatest(F.lit(2), F.floor((F.size(lines) + 1) / 2))))
+    short = (F.length(line) < 280) & ~prose & api & t.rlike("[;{}]")
+    return (
+        F.when((t == "") | index | tagged_prose, False)
+        .when((t.rlike(CODE_LINE) & t.rlike(CODE_SIGN)) | t.rlike(DECLARATION), True)
+        .when((closed >= 1) & api, ~explains)
+        .otherwise(t.rlike(ATTRIBUTE) | short)
+    )
+
+
 def one_line(c: Column) -> Column:
     return F.regexp_replace(c, r"\n", " ")
 
@@ -44,9 +84,8 @@ def code_language(c: Column) -> Column:
 
 
 def is_monospace(fonts: Column) -> Column:
-    """Courier, Consolas, typewriter or mono faces; Monotype isn't one."""
-    name = F.lower(F.array_join(fonts, " "))
-    return name.rlike(r"courier|consol|typewriter|mono(?:spaced?|[-_ ]|$)")
+    """Courier, Consolas, Lucida Console, typewriter or mono faces; Monotype isn't one."""
+    return F.lower(F.array_join(fonts, " ")).rlike(MONOSPACE)
 
 
 def looks_like_equation(text: Column, bbox: Column, width: Column) -> Column:

@@ -1,7 +1,7 @@
 """Version history of changing attributes (slowly changing dimension, type 2).
 
 The rows of an entity are folded by a higher-order function over a sorted array of
-structs that appends a version only when the state changes.  So that one entity may own
+structs that keeps a version only where the state changes.  So that one entity may own
 any share of the rows, the fold runs over *chunks*: the rows are range-partitioned by
 (entity, time), a chunk is what one entity owns in one range partition, and neighbouring
 chunks are stitched by a window over one narrow row per chunk and joined back to their runs.  No array is longer than
@@ -19,14 +19,12 @@ OPEN_END = -1
 
 
 def _fold(rows: Column) -> Column:
-    """Array of (t, state) in time order -> array of the runs' first elements."""
-    return F.aggregate(
-        rows,
-        F.slice(rows, 1, 0),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & F.element_at(acc, -1)["state"].eqNullSafe(x["state"]), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    """Array of (t, state) in time order -> array of the runs' first elements.
+
+    An element stays where its state isn't that of the element before it, so the fold takes one
+    look per element, however many versions there are.
+    """
+    return F.filter(rows, lambda x, i: (i == 0) | ~F.get(rows, i - 1)["state"].eqNullSafe(x["state"]))
 
 
 def versions(
@@ -55,7 +53,7 @@ def versions(
     chunks = (
         ranged.withColumn("chunk", F.spark_partition_id())
         .groupBy("k", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("t", "state"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("t", "state"))).alias("rows"))
         .select("k", "chunk", _fold(F.col("rows")).alias("runs"))
     )
     chunks = cut(chunks)

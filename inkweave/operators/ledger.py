@@ -12,7 +12,7 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     A partial maximum is taken before the shuffle, so a key of any size meets no single task.
     """
     rest = [c for c in df.columns if c not in key]
-    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*[F.to_json(F.struct(c)) for c in rest]).alias("tie"))
     top = df.groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("__r"))
     return top.select(*key, *[F.col("__r")[c].alias(c) for c in rest])
 
@@ -56,7 +56,10 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def resolve(issues: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Issues with the state of their resolution (type 1: overwritten); unknown resolutions change nothing."""
+    """Issues with the state of their resolution (type 1: overwritten); a resolution of an unknown issue is an error."""
+    unknown = resolutions.join(issues, "issue_id", "left_anti").select("issue_id").first()
+    if unknown is not None:
+        raise ValueError(f"there is no issue {unknown[0]}")
     r = resolutions.select("issue_id", F.col("status").alias("s"), F.col("resolution").alias("r"))
     kept = [c for c in issues.columns if c not in ("status", "resolution")]
     return issues.join(r, "issue_id", "left").select(*kept, F.coalesce("s", "status").alias("status"), F.coalesce("r", "resolution").alias("resolution"))

@@ -10,6 +10,20 @@ from inkweave.functions.nested import overlap
 PATCHED = ("kind", "source_text", "source_markdown", "latex", "code_language", "translatable", "render_policy", "sidebar_id", "sidebar_role")
 
 
+#: Patches that are broadcast at most; more are joined by their keys.
+BROADCAST_PATCHES = 10_000
+
+
+def _keyed(patches: DataFrame, u: DataFrame, kind: str | None) -> DataFrame:
+    """Patches beside the units of their project, and of their page or kind as far as they name them."""
+    if patches.limit(BROADCAST_PATCHES + 1).count() <= BROADCAST_PATCHES:
+        return u.join(F.broadcast(patches), "project_id")
+    same = (patches.project_id == u.project_id) & (F.lit(True) if kind is None else patches[kind] == u.u_kind)
+    paged = patches.page == u.u_page
+    one = patches.join(u, same & paged).drop(u.project_id)
+    return one.unionByName(patches.where("page IS NULL").join(u, same & patches.page.isNull()).drop(u.project_id))
+
+
 def matched(units: DataFrame, patches: DataFrame, least: float = 0.5) -> DataFrame:
     """``unit_id, ord, patch fields``: which patch hits which unit.
 
@@ -21,9 +35,11 @@ def matched(units: DataFrame, patches: DataFrame, least: float = 0.5) -> DataFra
     u = units.select("project_id", "unit_id", "page", F.col("bbox").alias("u_bbox"), F.col("kind").alias("u_kind"), F.col("source_text").alias("u_text"))
     by_id = patches.where("unit_id IS NOT NULL").join(u.select("project_id", "unit_id"), ["project_id", "unit_id"])
     rest = patches.where("unit_id IS NULL").drop("unit_id")
-    boxed = rest.where("bbox IS NOT NULL").join(u.withColumnRenamed("page", "u_page"), "project_id").where((F.col("page").isNull() | (F.col("page") == F.col("u_page"))) & (overlap(F.col("u_bbox"), F.col("bbox")) > least))
-    kinds = rest.where("bbox IS NULL AND current_kind IS NOT NULL").join(u.withColumnRenamed("page", "u_page"), "project_id")
-    kinds = kinds.where((F.col("page").isNull() | (F.col("page") == F.col("u_page"))) & (F.col("current_kind") == F.col("u_kind")) & (F.col("text_regex").isNull() | F.expr("u_text rlike text_regex")))
+    here = F.col("page").isNull() | (F.col("page") == F.col("u_page"))
+    u = u.withColumnRenamed("page", "u_page")
+    boxes, kinds = rest.where("bbox IS NOT NULL"), rest.where("bbox IS NULL AND current_kind IS NOT NULL")
+    boxed = _keyed(boxes, u, None).where(here & (overlap(F.col("u_bbox"), F.col("bbox")) > least))
+    kinds = _keyed(kinds, u, "current_kind").where(here & (F.col("current_kind") == F.col("u_kind")) & (F.col("text_regex").isNull() | F.expr("u_text rlike text_regex")))
     fields = [c for c in PATCHED if c in patches.columns]
     keep = ["unit_id", "ord", "ignore", *fields]
     return by_id.select(*keep).unionByName(boxed.select(*keep)).unionByName(kinds.select(*keep))

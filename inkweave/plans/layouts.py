@@ -106,11 +106,10 @@ def batch_memory(spark: SparkSession, d: str) -> DataFrame:
 def block_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kind of every block by rule, beside the extractor's guess."""
     from inkweave.functions import classify as C
-    from inkweave.functions.python import is_program_code_udf
 
     b = blocks(spark, d)
     medians = b.groupBy("project_id", "page").agg(F.median("font_size").alias("median_size"))
-    j = b.join(medians, ["project_id", "page"]).withColumn("is_code", is_program_code_udf("text"))
+    j = b.join(medians, ["project_id", "page"]).withColumn("is_code", C.is_program_code(F.col("text")))
     c = C.block_class(F.col("text"), F.col("bbox"), F.col("page_width"), F.col("page_height"), F.col("font_size"), F.col("median_size"), F.col("font_names"), F.col("is_code"), F.lit(0.0))
     return j.select("block_id", F.col("kind").alias("guess"), c.alias("c")).select("block_id", "guess", "c.kind", "c.confidence", "c.translatable")
 

@@ -9,7 +9,7 @@ from inkweave.functions import classify as C
 from inkweave.functions import text as T
 from inkweave.functions.fingerprints import SOURCE_FIELDS, STRUCTURE_FIELDS, fingerprint, ordered_fingerprint
 from inkweave.functions.nested import header_cells, table_html, table_markdown
-from inkweave.functions.python import inline_html_udf, is_program_code_udf, math_to_latex_udf
+from inkweave.functions.python import inline_html_udf, math_to_latex_udf
 from inkweave.operators import closure, layout, segment, sequence
 from inkweave.sources.tables import table
 
@@ -110,7 +110,7 @@ def fenced_code(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def program_code(spark: SparkSession, d: str) -> DataFrame:
-    return units(spark, d).select("unit_id", "kind", is_program_code_udf("source_text").alias("is_code"))
+    return units(spark, d).select("unit_id", "kind", C.is_program_code(F.col("source_text")).alias("is_code"))
 
 
 @query(f"""WITH {U} SELECT unit_id, kind, nullif(regexp_extract(source_text, '^\\s*(\\d+)[.)]\\s+', 1), '')::INT AS ordinal,

@@ -61,6 +61,17 @@ def test_scaled_numbers_compare_equal(spark):
     assert "10^-5 s" in P.comparison_text(r"10^{-5}\,\mathrm{s}")
 
 
+@pytest.mark.parametrize(
+    "text, flat",
+    [
+        (r"\frac{a_{1}}{\mathrm{b}}", "(a1)/(b)"), (r"\lambda x_2 \times 3", "λ x2 × 3"), (r"$\alpha_{i}^{2}$", "alphai^2"), ("a 3-D and 二维 box", "a dimension-3 and dimension-2 box"),
+        ("x² y₁", "x^2 y1"), ("1.5 million", "1500000"), ("0.00001 万", "0.1"), (r"\frac{a", "fraca"), ("{" * 3000 + "a", "a"), ("", ""), (None, None), ("a − b", "a - b"),
+    ],
+)
+def test_comparison_text(text, flat):
+    assert P.comparison_text(text) == flat
+
+
 def test_fences_and_escapes(spark):
     assert one(spark, T.fenced_code(F.col("t"), F.col("l")), t="a ```` b", l="sql").startswith("`````sql\n")
     assert one(spark, T.escape_prose(F.col("t")), t="a<b>&c") == "a&lt;b&gt;&amp;c"
@@ -95,7 +106,18 @@ def test_classifiers(spark):
     assert one(spark, C.looks_like_continuation(F.col("a"), F.col("b")), a="It goes", b="and on") is True
     assert one(spark, C.looks_like_continuation(F.col("a"), F.col("b")), a="It ends.", b="and on") is False
     assert one(spark, C.target_structure_error(F.col("k"), F.col("t")), k="heading", t="## x") == "heading-marker"
-    assert P.is_program_code("var g = new Grid();\ng.Measure(1);") and not P.is_program_code("The grid is new; it works.")
+
+
+@pytest.mark.parametrize(
+    "text, code",
+    [
+        ("var g = new Grid();\ng.Measure(1);", True), ("The grid is new; it works.", False), ("public sealed class Node", True), ("xmlns:x='a'", True),
+        ("g.Show(1) }", True), ("class Node, 12, method Add, 14-15", False), ("<p and text", False), ("<a href='x'>", True), ("", False), (None, False),
+        ("Use new Grid(1); because it is the best way.", False),
+    ],
+)
+def test_program_code(spark, text, code):
+    assert one(spark, C.is_program_code(F.col("t")), t=text) is code
 
 
 def test_tables(spark):
@@ -119,6 +141,14 @@ def test_indel_ratio():
     assert P.indel_ratio("abcd", "abed") == pytest.approx(75.0)
 
 
+@pytest.mark.parametrize(
+    "text, html",
+    [("a *b", "a *b"), ("``a`b``", "<code>a`b</code>"), (r"\*a* b", r"\*a* b"), ("**a**", "**a**"), ("$$", "$$"), ("a\n&", "a &amp;"), (None, None), ("` a `", "<code>a</code>")],
+)
+def test_inline_marks(text, html):
+    assert P.inline_html(text) == html
+
+
 def test_inline_html():
     assert P.inline_html("*set `a<b`* & $x^2$") == '<em>set <code>a&lt;b</code></em> &amp; <span class="math inline"><code class="math-fallback">x^2</code></span>'
     assert P.math_to_latex("x² ≤ y₁₀") == r"x^{2} \le y_{10}"

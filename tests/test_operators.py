@@ -154,17 +154,20 @@ def test_overlaps_and_gaps(spark, rows):
     assert rows(sequence.page_gaps(u)) == [("p", "u3", 9, 2)]
 
 
-def test_page_ranges():
-    assert documents.page_numbers("1-3, 7", 9) == [1, 2, 3, 7]
-    assert documents.page_numbers(None, 3) == [1, 2, 3]
-    for bad in ("3-1", "0", "10", ","):
+def test_page_ranges(spark, rows):
+    assert documents.page_ranges("7,1-3, 2-4", 9) == [(1, 4), (7, 7)]
+    assert rows(documents.pages(spark, "1-3, 7", 9)) == [(1,), (2,), (3,), (7,)]
+    assert documents.page_ranges(None, 3) == documents.page_ranges(" ALL ", 3) == [(1, 3)]
+    assert spark.range(1, 10).where(documents.on_pages(F.col("id"), "2-3,9", 9)).count() == 3
+    for bad in ("3-1", "0", "10", ",", "a", "1-2-3"):
         with pytest.raises(ValueError):
-            documents.page_numbers(bad, 9)
+            documents.page_ranges(bad, 9)
 
 
-def test_overrides_merge_in_place():
-    o = [{"unit_id": "a", "x": 1}, {"bbox": 1}, {"unit_id": "a", "y": 2}]
-    assert documents.merged_overrides(o) == [{"unit_id": "a", "x": 1, "y": 2}, {"bbox": 1}]
+def test_overrides_merge_in_place(spark, rows):
+    o = spark.createDataFrame([(1, "a", 1, None), (2, None, None, 5), (3, "a", None, 2), (4, "a", 7, None), (5, None, 3, None)], "ord int, unit_id string, x int, y int")
+    assert rows(documents.merged_overrides(o, "ord", ["x", "y"]).select("ord", "unit_id", "x", "y")) == [(1, "a", 7, 2), (2, None, None, 5), (5, None, 3, None)]
+    assert documents.merged_overrides(o.limit(0), "ord", ["x", "y"]).count() == 0
 
 
 BLOCK = "project_id string, page int, block_id string, kind string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
