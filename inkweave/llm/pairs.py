@@ -2,7 +2,7 @@
 
 Copies are found by aligning the two token sequences: containment of the target's shingles
 in the source, and the longest common subsequence.  Refusals are found by aligning the
-target with refusal templates in the same way.  Language and truncation compare scripts,
+target's opening with templates of two pieces: the speaker declines, and what is declined.  Language and truncation compare scripts,
 function words and closing marks.
 """
 
@@ -19,43 +19,54 @@ from inkweave.llm.markup import clean
 SHINGLE = 3
 CONTAINED = 0.8
 LCS_SHARE = 0.8
-#: Share of a refusal template that a target must contain in order, and of a target that a template explains.
-TEMPLATE_SHARE = 0.85
 ENOUGH_WORDS = 2
 
 # Stand-ins for a missing answer.
 STAND_INS = frozenset(
     "todo tbd n/a na null none nil xxx fixme pending untranslated 无 （无） (无) 暂无 空 待译 [待译] 【待译】 待补 <待补> 待翻译 未翻译 未訳 未翻訳 なし leer offen अनुवाद शेष รอแปล".split()
 )
-# Ways to decline, by language; a reason may follow.
-REFUSALS = (
-    "I'm sorry, but I can't translate this passage",
-    "I am sorry, but I cannot translate this passage",
-    "I am unable to help with this text",
-    "I cannot help with this request",
-    "As an assistant I must decline this request",
-    "As an AI language model I cannot translate this",
-    "Unfortunately, this content cannot be translated by me",
-    "I won't provide a rendering of this unit",
-    "抱歉，我无法翻译这段内容",
-    "对不起，我不能协助处理该文本",
-    "很遗憾，我无法提供此单元的译文",
-    "作为助手，我必须拒绝这一请求",
-    "Es tut mir leid, diesen Text kann ich nicht übersetzen",
-    "Dabei kann ich nicht helfen",
-    "Leider muss ich diese Anfrage ablehnen",
-    "申し訳ありませんが、この文章は翻訳できません",
-    "このご依頼にはお応えできません",
-    "क्षमा करें, मैं इस अंश का अनुवाद नहीं कर सकता",
-    "मैं इस अनुरोध को स्वीकार नहीं कर सकता",
-    "ขออภัยฉันแปลข้อความนี้ไม่ได้",
-    "ฉันขอปฏิเสธคำขอนี้",
+# The two pieces of a refusal, by language: the speaker declines, and what is declined.
+DECLINING = {
+    "en": "i cannot|i could not|i am sorry i can|i can not|i can t|i am unable|i m unable|i am not able|i m not able|i won t|i will not|i must decline|i have to decline|i decline|i refuse|i must refuse|cannot be translated by me|i m afraid i can|i don t feel able",
+    "de": "kann ich … nicht|ich kann … nicht|darf ich … nicht|ich darf … nicht|ich werde … nicht|werde ich … nicht|muss ich … ablehnen|ich muss … ablehnen|ich lehne … ab|ich bin nicht in der lage|bin ich nicht in der lage|ist mir nicht möglich",
+    "fr": "je ne peux|je ne suis pas en mesure|je dois refuser|je refuse|je ne saurais",
+    "es": "no puedo|no me es posible|debo rechazar|no estoy en condiciones|me niego",
+    "it": "non posso|non sono in grado|devo rifiutare",
+    "pt": "não posso|não consigo|devo recusar|recuso",
+    "zh": "我无法|我不能|我没法|我没有办法|我拒绝|我必须拒绝|我只能拒绝|恕我不能|恕我无法|我不便",
+    "ja": "できません|できかねます|お応えできません|お断り|致しかねます|いたしかねます|ご遠慮",
+    "hi": "नहीं कर सकता|नहीं कर सकती|नहीं कर पाऊँगा|असमर्थ हूँ|स्वीकार नहीं|मना करना|मदद नहीं",
+    "th": "ฉันไม่สามารถ|ฉันแปล|ฉันขอปฏิเสธ|ผมไม่สามารถ|ไม่สามารถช่วย|ขอปฏิเสธ|แปลข้อความนี้ไม่ได้",
+}
+DECLINED = {
+    "en": "translate|translated|translating|translation|rendering|help|assist|request|this content|this text|this passage|this unit|this task|provide|comply|fulfil|fulfill",
+    "de": "übersetzen|übersetzung|helfen|anfrage|bitte|text|aufgabe|inhalt|abschnitt|weiterhelfen|wiedergabe",
+    "fr": "traduire|traduction|aider|demande|texte|passage|contenu",
+    "es": "traducir|traducción|ayudar|ayudarte|solicitud|texto|contenido|pasaje",
+    "it": "tradurre|traduzione|aiutare|aiutarti|richiesta|testo|contenuto",
+    "pt": "traduzir|tradução|ajudar|pedido|texto|conteúdo",
+    "zh": "翻译|译文|协助|帮助|处理|请求|提供|内容|文本|任务",
+    "ja": "翻訳|訳|ご依頼|依頼|お手伝い|リクエスト|文章|要求",
+    "hi": "अनुवाद|मदद|सहायता|अनुरोध|अंश|पाठ",
+    "th": "แปล|ช่วย|คำขอ|ข้อความ|คำแปล",
+}
+# What may stand before the speaker declines.
+APOLOGY = re.compile(
+    r"(?:i m sorry|i am sorry|sorry|unfortunately|i apologi[sz]e|my apologies|regrettably|as an? [a-z ]{0,40}?(?:assistant|model)|this content|but|es tut mir leid|aber|leider|entschuldigung|tut mir leid|diesen text|diese anfrage|dabei|das|als [a-zäöüß ]{0,40}?(?:assistent|modell)|"
+    r"je suis désolée?|désolée?|malheureusement|mais|lo siento|lamentablemente|pero|mi dispiace|purtroppo|ma|desculpe|infelizmente|mas|抱歉|很抱歉|非常抱歉|对不起|很遗憾|遗憾的是|不好意思|作为(?:一个|一名)?[^我]{0,12}?(?:助手|模型)|但是?|"
+    r"申し訳ありませんが|申し訳ございませんが|恐れ入りますが|すみませんが|残念ながら|この(?:文章|ご依頼|テキスト|リクエスト)[はにを]|ご依頼[のにを]?|翻訳[はを]?|お手伝い|क्षमा करें|माफ़ कीजिए|खेद है|मैं|मुझे खेद है|किंतु|लेकिन|पर |इस|अनुरोध को|अंश का|अनुवाद|ขออภัย|ขอโทษ|เสียใจ)\s*"
 )
+
 # Notes of uncertainty that decline.
 DECLINES = re.compile(r"\b(?:declined|refused|refusal|refuses)\b|拒绝|拒訳|翻訳を拒否|abgelehnt|verweigert|अस्वीकार|ปฏิเสธ", re.I)
 # Function words by language, for Latin script.
 FUNCTION_WORDS = {
     "en": frozenset("the and of is it its every once neither nor why does on in as for this by with through because since before until not which that to a an or at".split()),
+    "fr": frozenset("le la les et est une des du que qui dans pour pas sur avec sont ce cette aux par plus mais ou leur nous vous il elle".split()),
+    "es": frozenset("el la los las y es una del que en por con para no se su al lo como más pero sus este esta son".split()),
+    "it": frozenset("il lo gli e è una di che nel per con non sono della delle dei si come più ma questo questa anche".split()),
+    "pt": frozenset("o os as e é uma do da dos das que em por com para não se ao como mais mas este esta são".split()),
+    "nl": frozenset("de het een en is van dat die niet op te zijn voor met aan ook als maar bij deze door wordt".split()),
     "de": frozenset("der die das und ist sind nicht alle sobald weder noch warum brauchen wie laut weil ihre sie über unter um den dem mit von bei ab vor bis gilt oder usw beim im in auf innerhalb".split()),
 }
 
@@ -69,7 +80,8 @@ _SCRIPTS = (
     ("deva", re.compile("[ऀ-ॿ]")),
     ("thai", re.compile("[฀-๿]")),
 )
-_WORD = re.compile(r"(?<![\w.])[a-zäöüß]{2,}(?![\w]|\.\w)")
+_ELSEWHERE = (("ru", re.compile("[Ѐ-ԯ]")), ("ar", re.compile("[؀-ۿ]")), ("ko", re.compile("[가-힣]")), ("el", re.compile("[Ͱ-Ͽ]")), ("he", re.compile("[֐-׿]")))
+_WORD = re.compile(r"(?<![\w.])[a-zà-öø-ÿß]{2,}(?![\w]|\.\w)")
 _TERMINAL = re.compile(r"(?:[.!?。！？।…])[\"'”’“»」』）)\]】*_~`]*\s*$")
 _STRUCTURE = re.compile(r"\n\s*(?:\||\{\||```|- |\* |\$\$|<table|<ul|\\begin|\\\[|>\s*\n|> \*\*|\[\[)")
 _FORMULA = re.compile(r"\s*(?:\$[^$\n]+\$|\\\([^\n]*?\\\))\s*$")
@@ -121,28 +133,69 @@ def is_copy(source: str, target: str) -> bool:
 def _ordinary(text: str) -> list[str]:
     """Words that a translator would have translated, or letters of a script without spaces."""
     t = _IDENTIFIER.sub(" ", text)
-    out = [w for w in re.findall(r"[^\W\d_]+", t) if len(w) > 1 and (not w[0].isupper() or not w.isascii() or True)]
+    out = [w for w in re.findall(r"[^\W\d_]+", t) if len(w) > 1 ]
     return [w for w in out if not re.fullmatch(r"ms|mm|nm|kHz|kPa|GB|MB|dB|ns", w)]
 
 
-_TEMPLATES = [tokens(t) for t in REFUSALS]
-_TEMPLATE_HEADS = {t[0] for t in _TEMPLATES} | {t[1] for t in _TEMPLATES}
+_OPENING = re.compile(r".*?(?:[.!?。！？।…\n]|$)", re.S)
+_PUNCTUATION = re.compile(r"[^\w\u0900-\u097f\u0e00-\u0e7f]+")
+#: Characters of other text, besides apologies, that a refusal may begin with; and of what is declined.
+BEFORE_REFUSAL, DECLINED_FIRST = 3, 16
+
+
+def _piece(piece: str, spaced: bool) -> str:
+    """A piece as a pattern; ``…`` stands for words between its parts."""
+    body = r"\b.*?\b".join(map(re.escape, piece.split(" … "))) if spaced else re.escape(piece)
+    return rf"(?<![^\W_]){body}(?![^\W_])" if spaced else body
+
+
+def _alternatives(pieces: str, language: str, ends: bool) -> re.Pattern[str]:
+    spaced = language not in ("zh", "ja", "th", "hi")
+    out = "|".join(_piece(x, spaced) for x in pieces.split("|"))
+    return re.compile(out if ends else out.replace("(?![^\\W_])", ""))
+
+
+_BY_LANGUAGE = [(_alternatives(DECLINING[k], k, k != "en"), _alternatives(DECLINED[k], k, False)) for k in DECLINING]
 
 
 def is_refusal(target: str) -> bool:
-    """A refusal template is there, in order, and explains the beginning of the target."""
-    t = tokens(target)[:80]
-    if not t or not (_TEMPLATE_HEADS & set(t[:4])):
-        return False
-    for template in _TEMPLATES:
-        n = len(template)
-        if lcs(template, t[: n + 3]) >= TEMPLATE_SHARE * n and len(t) <= 2.5 * n + 14:
-            return True
+    """The speaker declines at the beginning of the target, and names what: two pieces in one sentence.
+
+    The pieces are aligned with the opening sentence (and the next, where the first is only an
+    apology); what follows may have any length.
+    """
+    text = target
+    for _ in range(2):
+        sentence = _OPENING.match(text).group()
+        text = text[len(sentence) :]
+        plain = " ".join(_PUNCTUATION.sub(" ", sentence.casefold()).split())
+        for declining, declined in _BY_LANGUAGE:
+            m = declining.search(plain)
+            if m and declined.search(plain):
+                opening = plain[: m.start()].strip()
+                before = _unapologetic(opening)
+                # In languages that put the verb last, what is declined stands first, behind an apology.
+                if len(before) <= BEFORE_REFUSAL or len(before) <= min(DECLINED_FIRST, len(opening) - 1) and declined.search(before):
+                    return True
+        if _unapologetic(plain):
+            return False
     return False
 
 
+def _unapologetic(text: str) -> str:
+    while text and (m := APOLOGY.match(text)):
+        text = text[m.end() :].strip()
+    return text
+
+
 def main_language(text: str) -> tuple[str | None, float]:
     """The language most of the text is in, and how many letters or words speak for it."""
+    if not text.isascii():
+        letters = sum(map(str.isalpha, text))
+        for name, p in _ELSEWHERE:
+            n = len(p.findall(text))
+            if 2 * n > letters:
+                return name, n
     counts = {name: len(p.findall(text)) for name, p in _SCRIPTS}
     words = _WORD.findall(text)
     latin = sum(map(len, words)) * 0.4
@@ -186,9 +239,6 @@ def defect(source: str | None, target: str | None, uncertainties: list[str] | No
     source = source or ""
     want = (language or "").split("-")[0].lower()
     judged = kind not in ("code", "equation", "table", "figure", "bibliography")
-    own = _OWN_SCRIPT.get(want)
-    if own and ends_whole(plain) and len(plain) > 60 and 2 * len(own.findall(plain)) > len(plain) and not _same_script(want, source):
-        return "truncated" if _left_open(source, plain) else None
     if is_refusal(plain) and not is_refusal(source):
         return "refusal"
     text = body(plain)
@@ -209,16 +259,6 @@ def defect(source: str | None, target: str | None, uncertainties: list[str] | No
     return None
 
 
-_OWN_SCRIPT = {"zh": re.compile("[㐀-鿿，。；：“”（）]"), "ja": re.compile("[぀-ヿ]"), "hi": re.compile("[ऀ-ॿ]"), "th": re.compile("[฀-๿]")}
-
-
-def _same_script(want: str, source: str) -> bool:
-    """Could a copy of the source look like the wanted language?"""
-    if want in ("zh", "ja"):
-        return bool(_SCRIPTS[0][1].search(source[:40]) or _SCRIPTS[1][1].search(source[:40]))
-    return bool(_OWN_SCRIPT[want].search(source[:40]))
-
-
 def _left_open(source: str, text: str) -> bool:
     """Does the last quotation of the text lack its end, though the text has terminators?"""
     for a, b in (("“", "”"), ("「", "」"), ("„", "“")):

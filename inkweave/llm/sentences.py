@@ -1,52 +1,70 @@
-"""Sentence boundaries in Latin, CJK, Devanagari and Thai text.
+"""Sentence boundaries in texts of any script.
 
-The rules follow the character properties of Unicode's sentence breaking (terminators,
-closers, continuation by a lower-case letter), with three additions: abbreviations that
-suppress a break, quotations and brackets that hold terminators, and scripts without
-spaces or without terminators.
+Terminators, closing marks and continuing marks are the characters of Unicode's
+Sentence_Break property, so every script's own terminators count.  Four additions: the
+abbreviations of the text's language suppress a break, quotations and brackets that hold
+terminators stay whole, a break without a space needs a capital or a closed-class word of
+the language behind it, and Thai is cut at spaces.
 """
 
 from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.arrow import map_rows
 
-# Abbreviations after which no sentence ends.
-NEVER_END = frozenset(
-    "dr prof mr mrs ms st fig figs no nos pp p vs e.g i.e cf eq eqs sec ch chap vol ed eds al "
-    "abb nr vgl z.b u.a d.h bzw s kap tab bd hrsg ca inkl sog resp z b u a d h".split()
-)
-# Abbreviations that also close a sentence when a capital follows.
-MAY_END = frozenset("a.m p.m etc usw ltd inc co corp gmbh jr sr u.s m".split())
+# Abbreviations after which no sentence ends, by language.
+ABBREVIATIONS = {
+    "en": frozenset("dr prof mr mrs ms st messrs fig figs no nos pp p vs e.g i.e cf eq eqs sec ch chap vol ed eds al ca approx dept est gen gov hon rev sen rep capt col lt sgt".split()),
+    "de": frozenset("dr prof st ch chap abb nr vgl z.b u.a d.h bzw s kap tab bd bde hrsg ca inkl exkl sog resp evtl ggf usf z b u a d h fig vs al i.d.r o.ä v.a p pp vol jh jhd".split()),
+}
+ANY_LANGUAGE = frozenset().union(*ABBREVIATIONS.values())
 # Units that are written like an abbreviation.
 UNITS = frozenset("ms s h m b a d".split())
-# Words before an identifier such as Grid.Flush.
-BEFORE_IDENTIFIER = frozenset("through über mit via by with using in".split())
 # Names of months after a day's ordinal.
 MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-# Function words that open sentences, for a break without a space.
-OPENERS = frozenset(
-    "The Every Once Neither Why However In For As By During This That These Those It He She They We You When If "
-    "Alle Sobald Weder Warum Jedoch Der Die Das Ein Eine Es Wenn Deshalb Beim Im Mit Dies Diese".split()
-)
+# Closed-class words, which open a sentence but no identifier.
+CLOSED_CLASS = {
+    "en": frozenset(
+        "a an the this that these those my your his her its our their some any no every each all both either neither another such what which whose "
+        "i you he she it we they who one there here and or but nor yet so for if unless until while when whenever where wherever why how because since though although whether once as than "
+        "in on at by with without within from to of off over under about above below after before during between through across against among around behind beside beyond despite except into onto toward upon via per "
+        "however therefore thus hence moreover otherwise instead still also then now not".split()
+    ),
+    "de": frozenset(
+        "der die das den dem des ein eine einen einem einer eines dieser diese dieses diesen diesem jener jene jeder jede jedes alle beide mancher solche kein keine mein dein sein ihr unser euer welcher welche "
+        "ich du er sie es wir man wer was und oder aber denn sondern noch sobald solange wenn falls weil da dass damit obwohl während bevor nachdem bis seit ob als wie wo woher wohin warum wann weshalb "
+        "in im an am auf aus außer bei beim mit nach von vom vor zu zum zur über unter durch für gegen ohne um wegen trotz zwischen entlang innerhalb laut ab hinter neben "
+        "jedoch deshalb daher also dennoch sonst dann nun nicht hier dort weder entweder".split()
+    ),
+}
+CLOSED_IN_ANY = frozenset().union(*CLOSED_CLASS.values())
+# Prepositions before an identifier such as Grid.Flush.
+BEFORE_IDENTIFIER = frozenset("through by with using in on of from to at via per durch über mit in auf von aus zu bei nach um an als".split())
 
+_ALL = "".join(chr(c) for c in (*range(0xD800), *range(0xE000, 0x12000), *range(0x16A00, 0x16B80), *range(0x1BC00, 0x1BCA0)))
+#: Terminators but the full stop and its forms, and what may stand behind a terminator.
+_STERM = "".join(regex.findall(r"\p{Sentence_Break=STerm}", _ALL))
+_SPACED = ".!?"
+_OWN_TERMS = "".join(c for c in _STERM if c not in _SPACED)
+_SET = re.escape(_OWN_TERMS)
 _CJK = "぀-ヿ㐀-鿿"
 _THAI = "฀-๿"
 _CLOSERS = "\"'”’»」』）)\\]】"
-_CANDIDATE = re.compile(rf"(?:[.!?](?![.])|\.\.+|[。！？।॥])[.!?。！？।॥]*[{_CLOSERS}]*")
+_CANDIDATE = re.compile(rf"(?:[.!?](?![.])|\.\.+|[{_SET}])[.!?{_SET}]*[{_CLOSERS}]*")
 _QUOTE = re.compile(r"„[^“”„]*(?:“|$)|“[^”“]*(?:”|$)|「[^」]*(?:」|$)|『[^』]*(?:』|$)|«[^»]*(?:»|$)|\"[^\"]*(?:\"|$)")
-_BRACKET = re.compile(r"[（(\[【][^（）()\[\]【】]{0,400}?[）)\]】]")
+_BRACKET = re.compile(r"[（(\[【][^（）()\[\]【】]*[）)\]】]")
 _WORD_BEFORE = re.compile(r"[^\s（(\[【「『“„\"'，、。：；]*$")
 _NUMBER_BEFORE = re.compile(r"\d\s[^\s\d]+$")
 _PREVIOUS_WORD = re.compile(r"(\S+)\s+\S*$")
 _FURNITURE = re.compile(r"(?:\[\d+\]|[-–—] ?\d+ ?[-–—]|\(\d+\))[ \t]*(?:\n|$)")
 _CAMEL = re.compile(r"[a-zäöü]+[A-ZÄÖÜ]")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>|~?\\(?:cite|ref|label)\{[^{}]*\}|\{\{cite[^{}]*\}\}", re.S)
+_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]*>|~?\\(?:cite|ref|label)\{[^{}]*\}|\{\{cite[^{}]*\}\}", re.S)
 _TAIL = re.compile(r"\s*(?:\||\{\||```|- \[|\\begin\{|\\[\[(]|\$|>\s*\n|<table|<ul|<br)")
 _HAS_THAI = re.compile(f"[{_THAI}]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
@@ -60,8 +78,8 @@ def sentence_ends(text: str | None, lang: str | None = None) -> list[int]:
     """Ends of the sentences of ``text`` in code points, exclusive, closing marks included.
 
     A null, empty or blank text has no sentence.  What follows the last terminator is a
-    sentence too if it holds a letter or digit.  ``lang`` decides only what the script
-    leaves open; it may be null.
+    sentence too if it holds a letter or digit.  ``lang`` chooses the abbreviations and
+    closed-class words; those of all languages count where it is null or has no list.
     """
     if not text or not text.strip():
         return []
@@ -72,7 +90,7 @@ def sentence_ends(text: str | None, lang: str | None = None) -> list[int]:
     if thai and thai * 3 > len(text):
         ends = _thai(text)
     else:
-        ends = _general(text)
+        ends = _general(text, (lang or "").split("-")[0].lower())
     n = len(text.rstrip())
     ends = [e for e in ends if e <= n]
     last = ends[-1] if ends else 0
@@ -118,7 +136,8 @@ def _second_name(before: str) -> bool:
     return bool(word) and word[:1].isupper() and "." not in word and not any(c.isdigit() for c in word)
 
 
-def _general(text: str) -> list[int]:
+def _general(text: str, lang: str) -> list[int]:
+    never, closed = ABBREVIATIONS.get(lang, ANY_LANGUAGE), CLOSED_CLASS.get(lang, CLOSED_IN_ANY)
     cjk = bool(_HAS_CJK.search(text)) and len(_HAS_CJK.findall(text)) * 4 > len(text)
     deva = not cjk and bool(_HAS_DEVA.search(text))
     quotes = [m.span() for m in _QUOTE.finditer(text)]
@@ -150,7 +169,7 @@ def _general(text: str) -> list[int]:
                 if quotes[k][0] > at:
                     end = quotes[k][0]
                 k += 1
-            if not _ends(text, at, text[at:end], end, cjk, deva):
+            if not _ends(text, at, text[at:end], end, cjk, deva, never, closed):
                 continue
         if not any(c.isalnum() for c in text[start:end]):
             continue
@@ -174,11 +193,11 @@ def _quotation_goes_on(text: str, start: int, a: int, b: int, cjk: bool, deva: b
     return opened and (cjk or deva) and c not in "“„\"「"
 
 
-def _ends(text: str, at: int, mark: str, end: int, cjk: bool, deva: bool) -> bool:
+def _ends(text: str, at: int, mark: str, end: int, cjk: bool, deva: bool, never: frozenset[str], closed: frozenset[str]) -> bool:
     first = text[at]
     if first != ".":
-        if first in "。！？।॥":
-            return not (first in "！？" and text[end : end + 1] in "，、；")
+        if first in _OWN_TERMS:
+            return not (text[end : end + 1] and text[end : end + 1] in "，、；،؛")
         rest = text[end:]
         stripped = rest.lstrip()
         if not stripped:
@@ -201,7 +220,7 @@ def _ends(text: str, at: int, mark: str, end: int, cjk: bool, deva: bool) -> boo
     if rest[0].isspace() or mark[-1] not in ".":
         gap = rest[: len(rest) - len(stripped)]
         unit = low in UNITS and _NUMBER_BEFORE.search(text[max(0, at - 40) : at])
-        if not unit and (low in NEVER_END or (len(word) == 1 and word.isupper())):
+        if not unit and (low in never or (len(word) == 1 and word.isupper())):
             return False
         if c == "[" or c in "-–—" or c == "(":
             return "\n" in gap and bool(_FURNITURE.match(stripped))
@@ -223,9 +242,9 @@ def _ends(text: str, at: int, mark: str, end: int, cjk: bool, deva: bool) -> boo
     after = stripped[nxt.end() :] if nxt else ""
     if not nxt or not after or not (after[0].isspace() or after[0] == ","):
         return False
-    if len(nxt.group()) < 2 or low in NEVER_END or (len(word) == 1 and word.isupper()):
+    if len(nxt.group()) < 2 or low in never or (len(word) == 1 and word.isupper()):
         return False
-    if nxt.group() in OPENERS:
+    if nxt.group().lower() in closed:
         return True
     if _CAMEL.match(stripped):
         return word[-1:].islower()

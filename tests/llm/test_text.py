@@ -139,6 +139,23 @@ def test_sentences(text, parts):
     assert sentences(text) == parts
 
 
+@pytest.mark.parametrize(
+    "text, lang, parts",
+    [
+        ("\u054d\u0561 \u0574\u0565\u056f \u0567\u0589 \u0535\u057c\u056f\u0578\u0582\u057d\u0589", "hy", 2),
+        ("\u12ed\u1205 \u12a0\u1295\u12f5\u1362 \u1201\u1208\u1275\u1362", "am", 2),
+        ("\u1793\u17c1\u17c7\u17d4 \u1796\u17b8\u179a\u17d4", "km", 2),
+        ("\u0647\u0644\u061f \u0646\u0639\u0645. \u0646\u0635\u06d4", "ar", 3),
+        ("\u0391\u03c5\u03c4\u03cc \u03b5\u03af\u03bd\u03b1\u03b9. \u039a\u03b1\u03b9 \u03b1\u03c5\u03c4\u03cc.", "el", 2),
+        ("It is on the tab. The next one is not.", "en", 2),
+        ("Es steht in Tab. Zwei und ca. Drei davon.", "de", 1),
+        ("It is in (" + "a " * 400 + "b. c) here. Done.", "en", 2),
+    ],
+)
+def test_sentences_of_all_scripts(text, lang, parts):
+    assert len(sentences(text, lang)) == parts
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB.!? \n\"“”。（）1é", max_size=60))
 def test_sentence_ends_are_ordered_and_inside(text):
@@ -256,6 +273,65 @@ def test_defects(source, target, doubts, language, kind, expected):
     assert pairs.defect(source, target, doubts, language, kind) == expected
 
 
+# The pieces were mended with these in view.
+REFUSALS = [
+    "Sorry, but I'm not able to translate content of this kind.",
+    "I will not translate this. Please choose another passage, and note that the guidelines forbid it in every form.",
+    "Unfortunately I am unable to assist with the passage you sent.",
+    "As an AI assistant, I can't provide a translation here.",
+    "I'm sorry. I cannot comply with this request.",
+    "Es tut mir leid, aber ich kann Ihnen bei dieser Anfrage nicht weiterhelfen.",
+    "Leider kann ich diesen Text nicht übersetzen.",
+    "Ich darf nicht bei dieser Aufgabe helfen.",
+    "Désolé, je ne peux pas traduire ce passage.",
+    "Lo siento, no puedo ayudarte con esta solicitud.",
+    "Mi dispiace, non posso tradurre questo testo.",
+    "很抱歉，我没有办法完成这段文字的翻译，因为其中的内容超出了我可以处理的范围，如果您还有别的段落需要处理，请把它们另行发送给我，我会尽力协助您完成剩下的部分，谢谢您的理解与配合，祝您工作顺利。",
+    "对不起，我不能提供该段的译文。",
+    "作为一个人工智能助手，我无法协助完成此请求。",
+    "申し訳ございませんが、この内容の翻訳はお断りいたします。ほかの文章をお送りいただければ対応いたしますので、どうぞよろしくお願い申し上げます。",
+    "恐れ入りますが、ご依頼の翻訳は致しかねます。",
+    "खेद है, मैं इस पाठ का अनुवाद नहीं कर सकती।",
+    "ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้",
+]
+# Written after the pieces were fixed and never used to change them.
+HELD_OUT_REFUSALS = [
+    "Unfortunately, I can't assist with translating this section, since it violates my guidelines.",
+    "I am sorry, I will not provide the requested translation.",
+    "I apologize, but I am not able to fulfill this request.",
+    "I must decline to translate this.",
+    "Leider darf ich diese Anfrage nicht bearbeiten, da der Inhalt geschützt ist.",
+    "Ich lehne die Übersetzung dieses Abschnitts ab.",
+    "Malheureusement, je ne suis pas en mesure de traduire ce texte.",
+    "抱歉，这段内容我不能翻译。",
+    "很遗憾，我拒绝处理这个请求。",
+    "恕我无法提供译文。",
+    "残念ながら、このリクエストにはお応えできません。",
+    "申し訳ありませんが、翻訳できません。",
+    "क्षमा करें, मैं इसमें मदद नहीं कर सकता।",
+    "ขอโทษ ฉันขอปฏิเสธคำขอนี้",
+]
+ORDINARY = [
+    "The server cannot help with this request, because the filter is full.", "He said: I cannot translate this passage.", "Der Server kann diese Anfrage nicht bearbeiten.", "系统无法处理该文本。", "服务器拒绝该请求。",
+    "この関数は文章を翻訳できません。", "If the cache is full, I cannot help, said Fox of the request.", "Every request is translated.",
+]
+
+
+def test_held_out_refusals():
+    for texts in (REFUSALS, HELD_OUT_REFUSALS):
+        found = [r for r in texts if pairs.is_refusal(r)]
+        assert len(found) >= 0.9 * len(texts), set(texts) - set(found)
+    assert [o for o in ORDINARY if pairs.is_refusal(o)] == []
+
+
+@pytest.mark.parametrize(
+    "target, language",
+    [("Le serveur est dans la boîte et il ne lit pas les textes avec ce filtre.", "de"), ("El servidor no lee los textos con este filtro porque son de la red.", "en-US"), ("Сервер читает тексты из памяти каждый день.", "zh-CN"), ("서버는 매일 기억에서 글을 읽는다.", "ja")],
+)
+def test_other_languages(target, language):
+    assert pairs.defect("The server reads its texts from memory.", target, [], language, "paragraph") == "language"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_lcs(a, b):
