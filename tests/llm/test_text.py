@@ -91,7 +91,7 @@ def test_canonical_covers_both_fields_by_one_vocabulary(spark, rows, tmp_path):
     ],
 )
 def test_containers(text, field, languages):
-    assert {language for language, path, score in markup.containers(text, field) if markup.prior(language, path) + score > 0} == languages
+    assert {language for language, path, score in markup.containers(text, field) if markup.prior(language, path) + markup.WEIGHT * score > 0} == languages
 
 
 def test_residue_votes_by_host(spark, rows):
@@ -110,6 +110,29 @@ def test_votes_do_not_depend_on_the_number_of_rows(spark):
         assert got == {f"{t}{i}" for i in range(n) for t in "ic"}
 
 
+def test_any_language_s_paths_can_lose(spark):
+    data = [(f"a{i}", "code", "target_text", t) for i, t in enumerate(("n = a*b*c", "x = m[[0, 1]]", "Hello {{ user.name }}", "Stack<p> of"))]
+    data += [("b0", "text", "target_text", "so *it* is [[Box|box]] and <p>this {{cite|x}}"), ("b1", "text", "target_text", None)]
+    df = spark.createDataFrame(data, "unit_id string, project_id string, field string, text string")
+    got = {(r["unit_id"], r["markup"]) for r in markup.residue(df, ["unit_id"], "project_id", "field", "text").collect()}
+    assert got == {("b0", "markdown"), ("b0", "wiki"), ("b0", "html")}
+    clean = {r["unit_id"]: r["clean_text"] for r in markup.extract(df, ["unit_id"], "project_id", "field", "text").collect()}
+    assert clean == {"a0": "n = a*b*c", "a1": "x = m[[0, 1]]", "a2": "Hello {{ user.name }}", "a3": "Stack<p> of", "b0": "so it is box and\nthis", "b1": None}
+
+
+def test_extraction_by_salted_join_is_the_same(spark, rows, monkeypatch):
+    data = [(f"u{i}", f"h{i % 3}" if i % 5 else None, "target_text", f"<note>{i}</note> **b** <x-y> &amp; List<int>") for i in range(40)]
+    df = spark.createDataFrame(data, "unit_id string, project_id string, field string, text string")
+    one = rows(markup.extract(df, ["unit_id"], "project_id", "field", "text"))
+    monkeypatch.setattr(markup, "BROADCAST_PATHS", 0)
+    assert rows(markup.extract(df, ["unit_id"], "project_id", "field", "text")) == one
+
+
+def test_lost_paths_stay():
+    assert markup.clean("a List<p> b <li>c <div> **d** [[e]]", frozenset()) == "a List<p> b <li>c <div> **d** [[e]]"
+    assert markup.clean("a <p>b **d** [[e]]", frozenset({("wiki", "link")})) == "a <p>b **d** e"
+
+
 def test_clean_keeps_structure():
     text = "<h2>Head</h2>\n<ul><li>one</li><li>two</li></ul> {\\it x} \\cite{k} '''b''' [[a|c]] $x<y$\n```\n<b>\n```"
     out = markup.clean(text)
