@@ -154,7 +154,7 @@ def containers(text: str, field: str = "") -> list[Found]:
             braced = text[m.end() : m.end() + 1] in "{["
             before = text[m.start() - 1 : m.start()]
             drive = before == ":" or (before.isalnum() and before.isascii())
-            add("latex", "command." + m.group(1), -1.0 if drive else 1.0 if braced or before == "{" else 0.0)
+            add("latex", "command." + m.group(1), 1.0 if braced or before == "{" else -1.0 if drive else 0.0)
     if "[[" in text:
         for m in _WIKI_LINK.finditer(text):
             if m.group(1).strip():

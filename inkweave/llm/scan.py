@@ -26,6 +26,8 @@ HELD_FORMS = 200_000
 RATIO, LEAST = 12, 6
 #: Largest correction table that is broadcast; a larger one is joined by shuffle.
 BROADCAST_FORMS = 200_000
+#: Ideograph pairs that are broadcast at most (about 60 bytes each); beyond it contexts are judged by joins.
+BROADCAST_PAIRS = 400_000
 MARGIN = 0.075
 
 # Glyphs that recognition confuses; sequences first, then single characters.
@@ -52,7 +54,7 @@ _MISREAD_CJK = re.compile("[" + "".join(sorted(IDEOGRAPHS)) + "]")
 _HAN = re.compile("[㐀-鿿]")
 _NEWLINE_CJK = re.compile(r"[ \t]*\n[ \t]*")
 
-_NUMBER_LINE = re.compile(r"(?:(?:Page|Seite|S\.|p\.|第) ?)?(\d{1,5})(?: ?[页頁])?|[-–—] ?(\d{1,5}) ?[-–—]|\[(\d{1,5})\]|([ivxlc]{1,7})")
+_NUMBER_LINE = re.compile(r"(?:(?:Page|Seite|S\.|p\.|第) ?)?(\d{1,5})(?: ?[页頁])?|[-–—] ?(\d{1,5}) ?[-–—]|\[(\d{1,5})\]|([ivxlcdm]+)")
 _FIRST_NUMBER = re.compile(r"^(\d{1,5}) ?[|·–-] ?")
 _LAST_NUMBER = re.compile(r"[ |·–-]+(\d{1,5})$")
 _CHAPTER = re.compile(r"^(?:chapter|ch\.|kapitel|kap\.|chapitre|अध्याय|บทที่) ?\d+ ?[·:|.–-]? ?|^第 ?\d+ ?章 ?[·:|]? ?", re.I)
@@ -80,7 +82,7 @@ def skeletons(word: str) -> list[str]:
 
 def roman(n: int) -> str:
     out = ""
-    for v, s in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+    for v, s in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         out += s * (n // v)
         n %= v
     return out
@@ -152,29 +154,76 @@ def corrections(counts: DataFrame) -> DataFrame:
     return left.unionByName(right).unionByName(noisy).distinct()
 
 
-def misread_ideographs(text: str, pairs: dict[str, int]) -> dict[int, str]:
-    """Positions in ``text`` of ideographs whose look-alike is what the context supports, and the look-alike."""
+def _verdict(a: str, c: str, b: str, pairs) -> str | None:
+    """The look-alike that the neighbours support clearly better than the ideograph read."""
+    mine = (pairs.get(a + c, 0) if a else 0), (pairs.get(c + b, 0) if b else 0)
+    theirs, meant = max(((pairs.get(a + x, 0) if a else 0) + (pairs.get(x + b, 0) if b else 0), x) for x in IDEOGRAPHS[c])
+    return meant if theirs >= LEAST and theirs >= 4 * sum(mine) and theirs >= 4 * max(mine) else None
+
+
+def misread_ideographs(text: str, pairs: dict[str, int], judged: dict[str, str] | None = None) -> dict[int, str]:
+    """Positions in ``text`` of ideographs whose look-alike is what the context supports, and the look-alike.
+
+    ``pairs`` are the counts of neighbours; or ``judged`` has the look-alike of every context.
+    """
     out = {}
     for m in _MISREAD_CJK.finditer(text):
         i, c = m.start(), m.group()
         a, b = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
-        mine = pairs.get(a + c, 0) + pairs.get(c + b, 0)
-        stronger = max(pairs.get(a + c, 0), pairs.get(c + b, 0))
-        theirs, meant = max((pairs.get(a + meant, 0) + pairs.get(meant + b, 0), meant) for meant in IDEOGRAPHS[c])
-        if theirs >= LEAST and theirs >= 4 * mine and stronger * 4 <= theirs:
+        meant = _verdict(a, c, b, pairs) if judged is None else judged.get(f"{a}\x01{c}\x01{b}")
+        if meant is not None:
             out[i] = meant
     return out
 
 
+def _pairs_of(counts: DataFrame) -> dict[str, int] | None:
+    """The counts of ideograph pairs, or None where they are too many to hold."""
+    table = counts.where("kind = 'c'").select("form", "n").limit(BROADCAST_PAIRS + 1).collect()
+    return {r["form"]: r["n"] for r in table} if len(table) <= BROADCAST_PAIRS else None
+
+
+def _judged_contexts(texts: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
+    """``key, judged``: per record the map of its contexts with a misread ideograph to the look-alike, by joins."""
+    key_type = texts.schema[key].dataType.simpleString()
+
+    def contexts(rows):
+        for k, t in rows:
+            s = _ideographs(t)
+            for x in {(s[m.start() - 1 : m.start()] if m.start() else "", m.group(), s[m.end() : m.end() + 1]) for m in _MISREAD_CJK.finditer(s)}:
+                yield (k, *x)
+
+    own = map_rows(texts.where(F.col(text).rlike(_MISREAD_CJK.pattern)).select(key, text), contexts, f"`{key}` {key_type}, a string, c string, b string").persist()
+
+    def asked(rows):
+        for a, c, b in rows:
+            for x in (c, *IDEOGRAPHS[c]):
+                yield a, c, b, x, "l" if a else "-", a + x
+                yield a, c, b, x, "r" if b else "-", x + b
+
+    wanted = map_rows(own.select("a", "c", "b").distinct(), asked, "a string, c string, b string, x string, side string, form string").where("side <> '-'")
+    table = counts.where("kind = 'c'").select("form", "n")
+    seen = wanted.join(table, "form").groupBy("a", "c", "b").agg(F.collect_list(F.struct("form", "n")).alias("seen"))
+
+    def judge(rows):
+        for a, c, b, seen in rows:
+            meant = _verdict(a, c, b, {x["form"]: x["n"] for x in seen})
+            if meant is not None:
+                yield a, c, b, meant
+
+    wrong = map_rows(seen, judge, "a string, c string, b string, meant string")
+    entry = F.struct(F.concat_ws("\x01", "a", "c", "b").alias("k"), "meant")
+    return own.join(wrong, ["a", "c", "b"]).groupBy(key).agg(F.map_from_entries(F.collect_set(entry)).alias("judged"))
+
+
 def furniture(line: str, page: int | None) -> tuple[bool, str | None, bool]:
     """(is a bare page number, key of a possible running head, the head holds the page number)."""
     s = line.strip()
     m = _NUMBER_LINE.fullmatch(s)
     if m:
         if m.group(4):
-            return (page is not None and page < 400 and roman(page) == s), None, False
+            return (page is not None and roman(page) == s), None, False
         return next(g for g in m.groups() if g) == str(page), None, False
-    if not 2 < len(s) <= 90:
+    if len(s) <= 2:
         return False, None, False
     own = False
     m = _FIRST_NUMBER.match(s)
@@ -211,9 +260,7 @@ def found(records: DataFrame) -> DataFrame:
     fixes = corrections(counts)
     spark = records.sparkSession
 
-    # Bounded by the table's characters times the script's, both sides; lone pairs support nothing.
-    bigrams = {r["form"]: r["n"] for r in counts.where("kind = 'c' AND n > 1").select("form", "n").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(bigrams)
+    shared = spark.sparkContext.broadcast(_pairs_of(counts))
     table = fixes.limit(BROADCAST_FORMS + 1).collect()
     small = len(table) <= BROADCAST_FORMS
     wrong = spark.sparkContext.broadcast(frozenset(r["form"] for r in table) if small else None)
@@ -246,11 +293,15 @@ def found(records: DataFrame) -> DataFrame:
             if forms is None:
                 for w in set(_words(whole)):
                     yield record_id, "word", None, w, None, page
-            if _MISREAD_CJK.search(whole) and misread_ideographs(_ideographs(whole), pairs):
+            if pairs is not None and _MISREAD_CJK.search(whole) and misread_ideographs(_ideographs(whole), pairs):
                 yield record_id, "misread", None, None, None, page
 
     scanned = map_rows(base, run, "record_id string, noise string, project_id string, a string, b string, page int").persist()
     plain = scanned.where(F.col("noise").isin("page_number", "misread")).select("record_id", "noise")
+    if shared.value is None:
+        marginal = F.coalesce((F.col("height") != 0) & ((F.col("y0") < MARGIN * F.col("height")) | (F.col("y0") > (1 - MARGIN) * F.col("height"))) & ~F.contains("text", F.lit("\n")), F.lit(False))
+        texts = base.where(F.coalesce(prose, F.lit(True)) & ~marginal).select("record_id", "text").distinct()
+        plain = plain.unionByName(_judged_contexts(texts, "record_id", "text", counts).select("record_id", F.lit("misread").alias("noise")))
     return plain.unionByName(_breaks(scanned, counts)).unionByName(_heads(scanned, base)).unionByName(
         scanned.where("noise = 'word'").join(fixes, scanned.a == fixes.form, "left_semi").select("record_id", F.lit("misread").alias("noise"))
     ).distinct()
@@ -286,7 +337,7 @@ def _judged(scanned: DataFrame, base: DataFrame, *more: str) -> DataFrame:
     """``record_id, own, *more`` of the lines that are running heads."""
     lines = scanned.where("noise = 'head'").select("record_id", "project_id", F.ltrim(F.lit("\x01"), "a").alias("key"), F.col("a").startswith("\x01").alias("chapter"), F.col("b").isNotNull().alias("own"), "page", *more)
     titles = (
-        base.where((F.col("kind") == "heading") & (F.coalesce(F.col("y0") >= MARGIN * F.col("height"), F.lit(True))) & ~F.col("text").contains("\n") & (F.length("text") <= 90))
+        base.where((F.col("kind") == "heading") & (F.coalesce(F.col("y0") >= MARGIN * F.col("height"), F.lit(True))) & ~F.col("text").contains("\n"))
         .select("project_id", F.lower(F.regexp_replace(F.regexp_replace(F.trim("text"), r"\d+", "#"), "\x01", "")).alias("key"))
         .distinct()
         .withColumn("title", F.lit(True))
@@ -306,7 +357,7 @@ def meant_forms(counts: DataFrame) -> DataFrame:
     return fixes.unionByName(kept)
 
 
-def mend(text: str, meant: dict[str, str], pairs: dict[str, int]) -> str:
+def mend(text: str, meant: dict[str, str], pairs: dict[str, int], judged: dict[str, str] | None = None) -> str:
     """Broken words joined, misread words and ideographs replaced by what is ``meant``."""
 
     def join(m: re.Match[str]) -> str:
@@ -327,7 +378,7 @@ def mend(text: str, meant: dict[str, str], pairs: dict[str, int]) -> str:
     text = _WORD.sub(word, text)
     if _MISREAD_CJK.search(text):
         flat = _ideographs(text)
-        wrong = misread_ideographs(flat, pairs)
+        wrong = misread_ideographs(flat, pairs, judged)
         if wrong:
             dropped = {i for m in _NEWLINE_CJK.finditer(text) for i in range(*m.span())}
             places = [i for i in range(len(text)) if i not in dropped]
@@ -348,7 +399,7 @@ def repaired(records: DataFrame) -> DataFrame:
     # The vocabulary is that of ``found``, repeated rows included.
     counts = counted(records.where((F.length("text") > 0) & ~F.col("kind").isin("code", "equation", "table")), "text").persist()
     spark = records.sparkSession
-    bigrams = spark.sparkContext.broadcast({r["form"]: r["n"] for r in counts.where("kind = 'c' AND n > 1").select("form", "n").toLocalIterator()})
+    bigrams = spark.sparkContext.broadcast(_pairs_of(counts))
     forms = meant_forms(counts).persist()
     table = forms.limit(BROADCAST_FORMS + 1).collect()
     shared = spark.sparkContext.broadcast({r["form"]: r["meant"] for r in table} if len(table) <= BROADCAST_FORMS else None)
@@ -386,13 +437,18 @@ def repaired(records: DataFrame) -> DataFrame:
     else:
         stripped = stripped.withColumn("meant", none)
 
+    if bigrams.value is None:
+        stripped = stripped.join(_judged_contexts(stripped.where(~F.col("sound") & F.col("text").isNotNull()), "record_id", "text", counts), "record_id", "left")
+    else:
+        stripped = stripped.withColumn("judged", none)
+
     def run(rows):
         everywhere, pairs = shared.value, bigrams.value
-        for record_id, page, t, sound, own in rows:
+        for record_id, page, t, sound, own, judged in rows:
             meant = everywhere if everywhere is not None else dict(own or ())
-            yield record_id, page, t if t is None or sound else mend(t, meant, pairs)
+            yield record_id, page, t if t is None or sound else mend(t, meant, pairs, dict(judged or ()) if pairs is None else None)
 
-    return map_rows(stripped.select("record_id", "page", "text", "sound", "meant"), run, "record_id string, page int, text string")
+    return map_rows(stripped.select("record_id", "page", "text", "sound", "meant", "judged"), run, "record_id string, page int, text string")
 
 
 def reflow(records: DataFrame) -> DataFrame:

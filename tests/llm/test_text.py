@@ -448,9 +448,21 @@ def test_strays_are_found_with_any_number_of_forms(spark, monkeypatch, limit):
     assert {tuple(r) for r in scan.found(df).collect()} == {("s1", "misread")}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_ideographs_are_found_with_any_number_of_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(scan, "BROADCAST_PAIRS", limit)
+    got = {tuple(r) for r in scan.found(scanned_pages(spark)).collect()}
+    assert got == {("h1", "hyphenation"), ("m1", "misread"), ("n2", "header"), ("n2", "page_number"), ("k1", "header"), ("z1", "misread")}
+
+
+def test_roman_page_numbers():
+    assert scan.furniture("mcdxliv", 1444)[0] and scan.furniture("xiv", 14)[0] and not scan.furniture("xiv", 15)[0]
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_reflow_repairs_what_is_found(spark, monkeypatch, limit):
     monkeypatch.setattr(scan, "BROADCAST_FORMS", limit)
+    monkeypatch.setattr(scan, "BROADCAST_PAIRS", limit)
     df = scanned_pages(spark)
     text = {r["record_id"]: r["text"] for r in scan.reflow(scan.repaired(df.unionAll(df))).collect()}
     assert text["h1"] == "The visible renderer is near." and text["h2"] == "It is a two-step plan."
