@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,16 @@ from inkweave.sources.scratch import cut
 TOKENIZER_DIR = os.environ.get("INKWEAVE_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LONG_SPACE = re.compile(r"\s{1000}")
 BUCKETS = 1 << 16
+#: Parts into which the rows of a source that need no order are spread.
+SPREAD = 1 << 12
 #: Inclusion probabilities fall with this power of a text's size.
 SIZE_POWER = 0.5
-PIECE = 200_000
 
 
 def token_counts(texts: DataFrame, keys: list[str], text: str, tokenizer: str | None = None) -> DataFrame:
-    """``*keys, tokens``: the number of tokens of each text (0 for null and empty texts).
-
-    Texts longer than ``PIECE`` characters are cut at white space for the tokenizer's sake and
-    counted whole.
-    """
+    """``*keys, tokens``: the number of tokens of each whole text (0 for null and empty texts)."""
     path = tokenizer or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE)
     types = {f.name: f.dataType.simpleString() for f in texts.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", tokens bigint"
@@ -43,14 +43,14 @@ def token_counts(texts: DataFrame, keys: list[str], text: str, tokenizer: str |
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        def count(t: str) -> int:
+            # The tokenizer's own pattern matcher can't take runs of white space of any length.
+            if _LONG_SPACE.search(t):
+                return sum(len(encoding._encode_single_piece(m.group())) for m in regex.finditer(PATTERN, t))
+            return len(encoding.encode_ordinary(t))
+
         for row in rows:
-            t, total = row[n] or "", 0
-            while len(t) > PIECE:
-                at = t.rfind(" ", 1, PIECE)
-                at = at if at > 0 else PIECE
-                total += len(encoding.encode_ordinary(t[:at]))
-                t = t[at:]
-            yield (*row[:n], total + len(encoding.encode_ordinary(t)))
+            yield (*row[:n], count(row[n] or ""))
 
     return map_rows(texts.select(*keys, text), run, schema)
 
@@ -90,25 +90,50 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     return _drawn(_sized(documents, tokenizer), targets, total_tokens, seed)
 
 
+def _certain(sized: DataFrame, p: DataFrame) -> DataFrame:
+    """``p`` with ``certain`` and ``factor``: texts up to ``certain`` tokens are taken, the others with odds by ``factor``.
+
+    Inclusion is ``factor`` times a power of the size.  Where it would pass one, the text is certain,
+    and what is left of the wanted size is spread anew over the others, until none passes.  Only
+    one row per source is kept between rounds.
+    """
+    limits = p.select("source", "rest", F.lit(0).cast("bigint").alias("certain"), F.lit(False).alias("settled"))
+    sizes = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    while True:
+        over = F.when(F.col("tokens") > F.col("certain"), F.col("n") * F.pow(F.col("tokens"), 1 - SIZE_POWER))
+        under = F.when(F.col("tokens") <= F.col("certain"), F.col("n") * F.col("tokens"))
+        sums = sizes.join(limits, "source").groupBy("source", "rest", "certain").agg(F.sum(over).alias("scale"), F.coalesce(F.sum(under), F.lit(0)).alias("taken"))
+        factor = F.coalesce(F.greatest(F.lit(0.0), F.col("rest") - F.col("taken")) / F.col("scale"), F.lit(0.0))
+        bound = F.greatest("certain", F.floor(F.pow(factor, 1 / SIZE_POWER)).cast("bigint"))
+        # One row per source of the targets.
+        rows = sums.select("source", "rest", bound.alias("certain"), (bound == F.col("certain")).alias("settled"), factor.alias("factor")).collect()
+        known = sized.sparkSession.createDataFrame(rows, "source string, rest double, certain bigint, settled boolean, factor double")
+        if all(r["settled"] for r in rows):
+            return p.join(F.broadcast(known.select("source", "certain", "factor")), "source")
+        limits = known.drop("factor")
+
+
 def _drawn(sized: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int) -> DataFrame:
-    p = plan(sized, targets, total_tokens)
-    scale = sized.groupBy("source").agg(F.sum(F.pow(F.col("tokens"), 1 - SIZE_POWER)).alias("scale"))
-    p = p.join(scale, "source")
-    rows = sized.join(p, "source")
+    p = _certain(sized, plan(sized, targets, total_tokens))
+    rows = sized.join(F.broadcast(p), "source")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    inclusion = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("rest") * F.pow(F.col("tokens"), -SIZE_POWER) / F.col("scale")))
-    ranked = rows.withColumn("q", F.log(u / (1 - u)) - F.log(inclusion / (1 - inclusion)))
+    inclusion = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("factor") * F.pow(F.col("tokens"), -SIZE_POWER)))
+    q = F.when(F.col("tokens") <= F.col("certain"), F.lit(-64.0)).otherwise(F.log(u / (1 - u)) - F.log(inclusion / (1 - inclusion)))
+    ranked = rows.withColumn("q", q)
     ranked = ranked.withColumn("bucket", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((F.col("q") + 64) * (BUCKETS / 128.0)))).cast("int"))
     per = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = ranked.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(per), F.lit(0)))
-    placed = ranked.join(buckets, ["source", "bucket"])
-    inside = placed.where(F.col("before") + F.col("n") <= F.col("rest")).select("doc_id", "source", "tokens", "whole", F.lit(1).alias("extra"))
-    beyond = placed.where(F.col("before") >= F.col("rest")).select("doc_id", "source", "tokens", "whole", F.lit(0).alias("extra"))
-    edge = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    order = Window.partitionBy("source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
-    edge = edge.withColumn("extra", (done + F.col("tokens") / 2 <= F.col("rest")).cast("int")).select("doc_id", "source", "tokens", "whole", "extra")
-    return inside.unionByName(beyond).unionByName(edge).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("copies")).where("copies > 0")
+    # At most one bucket a source is cut by the wanted size; only its rows are ordered.
+    edges = buckets.join(F.broadcast(p.select("source", "rest")), "source").where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+    edges = edges.groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("edge"))
+    placed = ranked.join(F.broadcast(edges), "source", "left")
+    last = buckets.join(F.broadcast(p.select("source", "rest")), "source").where(F.col("before") + F.col("n") <= F.col("rest")).groupBy("source").agg(F.max("bucket").alias("full"))
+    placed = placed.join(F.broadcast(last), "source", "left")
+    at_edge = F.col("bucket") == F.col("edge.bucket")
+    order = Window.partitionBy("source", F.when(at_edge, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))).orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.col("edge.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    extra = F.when(at_edge, (done + F.col("tokens") / 2 <= F.col("rest")).cast("int")).when(F.col("bucket") <= F.col("full"), 1).otherwise(0)
+    return placed.select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("int").alias("copies")).where("copies > 0")
 
 
 def report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str | None = None) -> DataFrame:

@@ -490,10 +490,21 @@ def test_mixture_reaches_its_shares(spark):
     assert mix.mixture(d.limit(0), t).count() == 0
 
 
+def test_texts_that_are_certain_leave_their_share_to_the_others(spark):
+    sizes = [(i, "a", 1 + (i % 40 == 0) * 400 + i % 7) for i in range(2000)]
+    sized = spark.createDataFrame(sizes, "doc_id bigint, source string, tokens bigint")
+    p = spark.createDataFrame([("a", 0.5, 1, 1, 1, 0, 0.8 * sum(t for _, _, t in sizes))], "source string, share double, repeats int, have bigint, wanted bigint, whole int, rest double")
+    r = mix._certain(sized, p).first()
+    taken = sum(t for _, _, t in sizes if t <= r["certain"])
+    expected = taken + sum(t * min(1.0, r["factor"] * t ** -mix.SIZE_POWER) for _, _, t in sizes if t > r["certain"])
+    assert r["certain"] > 0 and expected == pytest.approx(r["rest"])
+    assert all(r["factor"] * t ** -mix.SIZE_POWER < 1 for _, _, t in sizes if t > r["certain"])
+
+
 def test_token_counts_of_long_texts(spark):
-    d = spark.createDataFrame([(1, "word " * 100_000), (2, None), (3, "")], "doc_id int, text string")
+    d = spark.createDataFrame([(1, "word " * 100_000), (2, None), (3, ""), (4, "a" * 300_000), (5, "a b" + " " * 400_000 + "c\n" * 3), (6, "a b" + " " * 999 + "c"), (7, "a b" + " " * 1000 + "c")], "doc_id int, text string")
     got = {r["doc_id"]: r["tokens"] for r in mix.token_counts(d, ["doc_id"], "text").collect()}
-    assert got[2] == got[3] == 0 and abs(got[1] - 100_000) < 10
+    assert got[2] == got[3] == 0 and abs(got[1] - 100_000) < 10 and got[4] > 0 and got[5] > 0 and abs(got[6] - got[7]) < 20
 
 
 # -- cut-offs
