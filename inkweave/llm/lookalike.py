@@ -2,9 +2,11 @@
 
 ``fold`` brings compatibility forms, accents, spaces, hyphens and invisible characters to
 one form.  Look-alike letters of other scripts are repaired per token: the token's dominant
-script is determined, the letters of other scripts are substituted, and the substitution
-holds only where its result occurs in the corpus vocabulary (as a clean token, or as the
-result of repairing a differently damaged token).
+script is determined, the letters of other scripts are substituted in tokens of mixed script,
+and the substitution holds only where its result occurs in the corpus vocabulary (as a clean
+token, or as the result of repairing a differently damaged token).  A token wholly of
+look-alikes is mixed with its text instead: it is repaired only in a text that holds no
+letter of the token's script without a Latin twin, so words of a text in that script stay.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ TO_SCRIPT = {
     "GREEK": {v: k for k, v in reversed(GREEK.items())},
 }
 
+#: Parts into which the units of one text are split when pairs are expanded.
+SALT = 8
+
 _TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 _FOREIGN = re.compile("[" + "".join(map(re.escape, TO_LATIN)) + "]")
 #: The same class for the JVM, which picks the few texts that need token repair.
@@ -95,6 +100,25 @@ def candidate(token: str) -> str | None:
     return out if out != token else None
 
 
+def candidates(folded: str) -> dict[str, str]:
+    """Token -> substitution of the tokens of a folded text that are of mixed script, or stand in a text of another script."""
+    out: dict[str, str] = {}
+    at_home: dict[str, bool] = {}
+    for token in set(_TOKEN.findall(folded)):
+        c = candidate(token)
+        if c is None:
+            continue
+        scripts = {_script(x) for x in unicodedata.normalize("NFD", token) if x.isalpha()}
+        if len(scripts) == 1:
+            script = scripts.pop()
+            if script not in at_home:
+                at_home[script] = any(_script(x) == script and x not in TO_LATIN for x in unicodedata.normalize("NFD", folded) if x.isalpha() and not x.isascii())
+            if at_home[script]:
+                continue
+        out[token] = c
+    return out
+
+
 def repair(text: str, accepted: dict[str, str]) -> str:
     """``fold``, with the accepted tokens substituted."""
     folded = fold(text)
@@ -106,13 +130,7 @@ def accepted_tokens(texts: DataFrame, text: str) -> DataFrame:
 
     def run(rows):
         for (t,) in rows:
-            seen = set()
-            for token in _TOKEN.findall(fold(t)):
-                if token not in seen:
-                    seen.add(token)
-                    c = candidate(token)
-                    if c is not None:
-                        yield token, c
+            yield from candidates(fold(t)).items()
 
     damaged = texts.where(F.col(text).rlike(FOREIGN_JVM)).select(text)
     pairs = map_rows(damaged, run, "token string, candidate string").groupBy("token", "candidate").agg(F.count("*").alias("n"))
@@ -144,7 +162,7 @@ def canonical(texts: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def tokens(rows):
         for i, t in rows:
-            for token in {x for x in _TOKEN.findall(fold(t)) if _FOREIGN.search(x)}:
+            for token in candidates(fold(t)):
                 yield i, token
 
     id_type = base.schema["id"].dataType.simpleString()
@@ -169,6 +187,29 @@ def canonical_fields(members: DataFrame, keys: list[str], text: str) -> DataFram
     return m.drop("t").distinct().join(canonical(texts, "h", "t"), "h", "left").select(*keys, "canonical")
 
 
+def _nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``field, unit_id, h, text`` that are compared, and ``h, k`` of each distinct text: its hash and its form's."""
+    m = members.where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("unit_id").isNotNull()).select("field", "unit_id", F.md5("text").alias("h"), "text")
+    texts = m.groupBy("h").agg(F.first("text").alias("text"))
+    return m, cut(canonical(texts, "h", "text").select("h", F.md5("canonical").alias("k")))
+
+
+def alike_classes(members: DataFrame) -> DataFrame:
+    """``field, unit_id, class, spellings, units``: one row per unit whose text is printed like a different string.
+
+    ``class`` is the smallest unit of the class in the field, ``spellings`` the number of its
+    different strings.  A class of any size gives one row per unit; the pairs of ``alike_pairs``
+    are those of one class with different strings.
+    """
+    m, keyed = _nodes(members)
+    per = m.select("field", "unit_id", "h").distinct().join(keyed, "h")
+    classes = per.groupBy("field", "k").agg(F.min("unit_id").alias("class"))
+    spellings = per.select("field", "k", "h").distinct().groupBy("field", "k").agg(F.count("*").alias("spellings")).where("spellings > 1")
+    units = per.select("field", "k", "unit_id").distinct().groupBy("field", "k").agg(F.count("*").alias("units"))
+    found = classes.select("field", "k", "class").join(spellings, ["field", "k"]).join(units, ["field", "k"])
+    return per.select("field", "k", "unit_id").distinct().join(found, ["field", "k"]).select("field", "unit_id", "class", "spellings", "units")
+
+
 def alike_pairs(members: DataFrame) -> DataFrame:
     """``field, unit_a, unit_b`` of ``members(field, unit_id, text)``: equal in print, not in characters.
 
@@ -176,19 +217,19 @@ def alike_pairs(members: DataFrame) -> DataFrame:
     unit isn't paired with itself.  Equal texts are one node: the pairs are found between
     distinct texts and only then expanded to their units, as the result demands.
     """
-    m = members.where(F.col("text").rlike(r"[\p{L}\p{N}]") & F.col("unit_id").isNotNull()).select("field", "unit_id", F.md5("text").alias("h"), "text")
-    texts = m.groupBy("h").agg(F.first("text").alias("text"))
-    keyed = cut(canonical(texts, "h", "text").select("h", F.md5("canonical").alias("k")))
+    m, keyed = _nodes(members)
     many = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     nodes = keyed.join(many, "k", "left_semi")
     a, b = nodes.select("k", F.col("h").alias("ha")), nodes.select("k", F.col("h").alias("hb"))
     pairs = a.join(b, "k").where("ha < hb").select("ha", "hb")
     own = m.select("field", "unit_id", "h").distinct()
-    left = own.select("field", F.col("unit_id").alias("ua"), F.col("h").alias("ha"))
+    left = own.select("field", F.col("unit_id").alias("ua"), F.col("h").alias("ha"), F.pmod(F.xxhash64("unit_id"), F.lit(SALT)).cast("int").alias("part"))
     right = own.select("field", F.col("unit_id").alias("ub"), F.col("h").alias("hb"))
+    # The units of one text are split, so that no task expands all of a frequent text's pairs.
+    parts = pairs.select("ha", "hb", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    spread = parts.join(left, ["ha", "part"]).withColumn("side", F.pmod(F.xxhash64("ua", "hb"), F.lit(SALT)).cast("int"))
     return (
-        pairs.join(left, "ha")
-        .join(right, ["hb", "field"])
+        spread.join(right.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("side")).join(pairs.select("hb").distinct(), "hb", "left_semi"), ["hb", "field", "side"])
         .where("ua <> ub")
         .select("field", F.least("ua", "ub").alias("unit_a"), F.greatest("ua", "ub").alias("unit_b"))
         .distinct()

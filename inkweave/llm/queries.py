@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(units.unionByName(records))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    units = _field(table(spark, d, "source_units"), "source_text", "unit_id")
+    records = _field(table(spark, d, "translation_history"), "target_text", "unit_id")
+    return lookalike.alike_classes(units.unionByName(records))
+
+
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     keys = ["unit_id", "revision"]
     units = table(spark, d, "source_units").groupBy("unit_id").agg(F.min("source_text").alias("source_text")).withColumn("revision", F.lit(0))
@@ -70,10 +76,10 @@ def _verified(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "source_units")
         .where(F.col("kind").isin("paragraph", "note") & (F.col("verification_status") == "verified"))
         .groupBy("unit_id")
-        .agg(F.first("project_id").alias("project_id"), F.first("source_text").alias("source_text"))
+        .agg(F.min("project_id").alias("project_id"), F.min("source_text").alias("source_text"))
     )
     latest = table(spark, d, "translation_history").groupBy("unit_id").agg(F.max(F.struct("revision", "target_text")).alias("r"))
-    projects = table(spark, d, "projects").groupBy("project_id").agg(F.first("source_language").alias("source_language"), F.first("target_language").alias("target_language"))
+    projects = table(spark, d, "projects").groupBy("project_id").agg(F.min("source_language").alias("source_language"), F.min("target_language").alias("target_language"))
     return (
         units.join(latest, "unit_id", "left")
         .join(projects, "project_id", "left")
@@ -92,9 +98,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "translation_history").groupBy("unit_id", "revision").agg(F.first(F.struct("target_text", "uncertainties")).alias("r"))
-    units = table(spark, d, "source_units").groupBy("unit_id").agg(F.first("project_id").alias("project_id"), F.first("source_text").alias("source_text"), F.first("kind").alias("kind"))
-    projects = table(spark, d, "projects").groupBy("project_id").agg(F.first("target_language").alias("language"))
+    records = table(spark, d, "translation_history").groupBy("unit_id", "revision").agg(F.max(F.struct("target_text", "uncertainties")).alias("r"))
+    units = table(spark, d, "source_units").groupBy("unit_id").agg(F.min("project_id").alias("project_id"), F.min("source_text").alias("source_text"), F.min("kind").alias("kind"))
+    projects = table(spark, d, "projects").groupBy("project_id").agg(F.min("target_language").alias("language"))
     joined = records.join(units, "unit_id").join(projects, "project_id", "left")
     return pairs.defects(joined.select("unit_id", "revision", "source_text", F.col("r.target_text").alias("target_text"), F.col("r.uncertainties").alias("uncertainties"), "language", "kind"), ["unit_id", "revision"])
 
@@ -120,7 +126,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_clean, p3_found, p3_reflowed, p4_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p2_found, p2_clean, p3_found, p3_reflowed, p4_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

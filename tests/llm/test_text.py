@@ -54,6 +54,19 @@ def test_candidates_follow_the_dominant_script():
     assert lookalike.candidate("paper") is None
 
 
+def test_words_of_a_text_in_their_own_script_stay(spark, rows):
+    wasp = "\u043e\u0441\u0430"
+    t = spark.createDataFrame([(1, f"{wasp} \u043b\u0435\u0442\u0438\u0442"), (2, f"an {wasp} here"), (3, "oca"), (4, wasp)], "id int, text string")
+    assert rows(lookalike.canonical(t, "id", "text")) == [(1, f"{wasp} \u043b\u0435\u0442\u0438\u0442"), (2, "an oca here"), (3, "oca"), (4, "oca")]
+
+
+def test_classes_give_one_row_a_unit(spark, rows):
+    data = [("source_text", f"u{i:03}", "paper" if i % 2 else "p\u0430per") for i in range(60)] + [("source_text", "v", "other"), ("target_text", "u000", "paper")]
+    got = rows(lookalike.alike_classes(members(spark, data + data)))
+    assert got == [("source_text", f"u{i:03}", "u000", 2, 60) for i in range(60)]
+    assert lookalike.alike_pairs(members(spark, data)).count() == 900
+
+
 def test_repair_needs_the_vocabulary(spark, rows):
     t = spark.createDataFrame([(1, "p\u0430per"), (2, "z\u043erk"), (3, "paper"), (4, None), (5, "")], "id int, text string")
     assert rows(lookalike.canonical(t, "id", "text")) == [(1, "paper"), (2, "z\u043erk"), (3, "paper"), (4, None), (5, "")]
