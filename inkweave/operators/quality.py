@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
 from inkweave.functions.classify import target_structure_error
+from inkweave.functions.nested import effective_labels
 from inkweave.functions.python import comparison_text_udf
 
 
@@ -74,6 +75,21 @@ def missing_tokens(a: DataFrame) -> DataFrame:
     return absent.where((F.col("plain") == "") | ~F.contains("flat", "plain")).select("unit_id", "token").distinct()
 
 
+# A formula in running text.
+INLINE_LATEX = r"\$(?!\$)(.+?)(?<!\\)\$"
+
+
+def mapping_rules(units: DataFrame, current: DataFrame) -> DataFrame:
+    """``unit_id, code``: formulas missing from the target, figure labels that name other sources, records of unknown units."""
+    c = current.select("unit_id", "target_text", F.col("figure_labels").alias("supplied"))
+    j = units.select("unit_id", "kind", "source_markdown", "figure_labels").join(c, "unit_id")
+    formulas = lambda x: F.coalesce(F.regexp_extract_all(x, F.lit(INLINE_LATEX), F.lit(1)), F.array())
+    lost = j.where(F.size(F.array_except(formulas(F.col("source_markdown")), formulas(F.col("target_text")))) > 0).select("unit_id", F.lit("inline-latex-missing").alias("code"))
+    other = (F.size("supplied") > 0) & effective_labels(F.col("kind"), F.col("figure_labels"), F.col("supplied")).isNull()
+    unknown = c.join(units.select("unit_id"), "unit_id", "left_anti").select("unit_id", F.lit("unknown-unit").alias("code"))
+    return lost.unionByName(j.where(other).select("unit_id", F.lit("figure-label-mapping-mismatch").alias("code"))).unionByName(unknown)
+
+
 def audit_coverage(required: DataFrame, runs: DataFrame, invalidations: DataFrame, lenses: list[str]) -> DataFrame:
     """``batch_id, unit_id, lens, covered``: whether some run saw the unit's present content through the lens.
 

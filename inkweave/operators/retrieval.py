@@ -13,8 +13,8 @@ from inkweave.functions.text import memory_tokens
 TERM_BLOCK = 50_000
 
 
-def contained_terms(texts: DataFrame, keys: list[str], text: str, language: str, terms: DataFrame) -> DataFrame:
-    """``*keys, term_id`` of ``terms(term_id, language, form)`` that stand in a text, whatever the case.
+def contained_terms(texts: DataFrame, keys: list[str], text: str, language: str, terms: DataFrame, exact: bool = False) -> DataFrame:
+    """``*keys, term_id`` of ``terms(term_id, language, form)`` that stand in a text, whatever the case unless ``exact``.
 
     The forms are a stated query set: an automaton over one block of them is broadcast and all
     texts are scanned in one narrow pass per block.
@@ -37,7 +37,7 @@ def contained_terms(texts: DataFrame, keys: list[str], text: str, language: str,
             machines: dict[str, ahocorasick.Automaton] = {}
             grouped: dict[str, dict[str, list]] = {}
             for term_id, lang, form in shared.value:
-                grouped.setdefault(lang, {}).setdefault(form.lower(), []).append(term_id)
+                grouped.setdefault(lang, {}).setdefault(form if exact else form.lower(), []).append(term_id)
             for lang, words in grouped.items():
                 machine = ahocorasick.Automaton()
                 for word, ids in words.items():
@@ -49,7 +49,7 @@ def contained_terms(texts: DataFrame, keys: list[str], text: str, language: str,
                 for row in f.itertuples(index=False, name=None):
                     machine = machines.get(row[n + 1])
                     if machine is not None:
-                        seen = {i for _, ids in machine.iter(row[n].lower()) for i in ids}
+                        seen = {i for _, ids in machine.iter(row[n] if exact else row[n].lower()) for i in ids}
                         rows += [(*row[:n], i) for i in seen]
                 yield pd.DataFrame(rows, columns=[*keys, "term_id"])
 

@@ -52,13 +52,18 @@ def overridden_units(spark: SparkSession, d: str) -> DataFrame:
     return overrides.apply(units(spark, d), patches).select("unit_id", "kind", "render_policy")
 
 
-@query(f"""WITH {U}, c AS (SELECT project_id, page, sha256(string_agg(unit_id || ':' || {_fp(SOURCE_FIELDS)}, chr(10) ORDER BY pos)) AS fp, bool_and(verification_status = 'verified') AS passed FROM u GROUP BY ALL)
-SELECT project_id, page FROM c WHERE NOT passed""")
+@query(f"""WITH {U} SELECT project_id, page FROM u GROUP BY ALL HAVING NOT bool_and(verification_status = 'verified') OR bool_or(pos % 50 = 0)""")
 def pages_to_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without a passed receipt; here a page has one if all of its units are verified."""
+    """Pages without a passed receipt of their present content.
+
+    A page passed if all its units are verified; the receipts are of an older snapshot, in which
+    every fiftieth unit read otherwise.
+    """
     fp = ordered_fingerprint("pos", F.concat_ws(":", "unit_id", fingerprint(SOURCE_FIELDS))).alias("fp")
-    pages = units(spark, d).groupBy("project_id", "page").agg(fp, F.bool_and(F.col("verification_status") == "verified").alias("passed"))
-    return lineage.to_recompute(pages.drop("passed"), pages, ["project_id", "page"], "fp").select("project_id", "page")
+    u = units(spark, d)
+    older = u.withColumn("source_text", F.when(F.col("pos") % 50 == 0, F.concat("source_text", F.lit(" "))).otherwise(F.col("source_text")))
+    receipts = older.groupBy("project_id", "page").agg(fp, F.bool_and(F.col("verification_status") == "verified").alias("passed"))
+    return lineage.to_recompute(u.groupBy("project_id", "page").agg(fp), receipts, ["project_id", "page"], "fp").select("project_id", "page")
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)

@@ -118,31 +118,43 @@ def qa_missing_tokens(spark: SparkSession, d: str) -> DataFrame:
     return quality.missing_tokens(_aligned(spark, d))
 
 
-_TERM = f"""{U}, {H}, a AS (SELECT u.unit_id, u.page, u.parent_id, p.source_language AS sl, p.target_language AS tl, c.target_text,
-  lower(regexp_replace(u.source_text, '["“][^"”]{{2,}}["”]', ' ', 'g')) AS s FROM u JOIN c ON c.unit_id = u.unit_id JOIN projects p ON p.project_id = u.project_id WHERE u.translatable)"""
+_TERM = f"""{_A}, r AS (SELECT *, lower(regexp_replace(array_to_string(list_filter(list_concat([source_text, CASE WHEN source_markdown <> source_text THEN source_markdown END], coalesce(flatten(table_data.row_cells), []), coalesce(list_transform(figure_labels, lambda x: x.source), [])), lambda x: x IS NOT NULL AND x <> ''), chr(10)), '["“][^"”]{{2,}}["”]', ' ', 'g')) AS s FROM w WHERE has),
+t AS (SELECT * FROM glossary_terms WHERE status = 'approved')"""
 
 
-def _termed(spark: SparkSession, d: str) -> DataFrame:
+def _termed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Translated units with all that is theirs in the source, and the approved terms; ``pair`` is the language pair of both."""
+    pair = F.concat_ws(">", "source_language", "target_language").alias("pair")
+    rows = F.transform(F.col("target_table.row_cells"), lambda r: F.array_join(r, " | "))
+    effective = F.when(F.col("target_table").isNotNull(), F.concat("target_text", F.lit("\n"), F.array_join(rows, "\n"))).otherwise(F.col("target_text"))
     a = _aligned(spark, d).where(F.col("target_text").isNotNull())
-    return a.select("unit_id", "page", "parent_id", "source_language", "target_language", "target_text", T.without_quoted_titles(F.col("source_text")).alias("source"))
+    texts = a.select("unit_id", "page", "parent_id", pair, effective.alias("effective"), T.without_quoted_titles(render.source_representation()).alias("source"))
+    return texts, table(spark, d, "glossary_terms").where("status = 'approved'").select("*", pair)
 
 
-@query(f"""WITH {_TERM} SELECT unit_id, term_id FROM a JOIN glossary_terms t ON t.source_language = a.sl AND t.target_language = a.tl AND t.source <> '' AND contains(a.s, lower(t.source))
-WHERE (scope = 'document' OR scope = 'page:' || page::VARCHAR OR scope IS NOT DISTINCT FROM parent_id) AND NOT contains(target_text, t.target)""")
+@query(f"""WITH {_TERM} SELECT unit_id, term_id FROM r JOIN t ON t.source_language = r.sl AND t.target_language = r.tl AND t.source <> '' AND t.target <> '' AND contains(r.s, lower(t.source))
+WHERE (scope = 'document' OR scope = 'page:' || page::VARCHAR OR scope IS NOT DISTINCT FROM parent_id) AND NOT contains(eff, t.target)""")
 def approved_terms_missing(spark: SparkSession, d: str) -> DataFrame:
-    a = _termed(spark, d).withColumn("pair", F.concat_ws(">", "source_language", "target_language"))
-    t = table(spark, d, "glossary_terms").withColumn("language", F.concat_ws(">", "source_language", "target_language"))
-    found = retrieval.contained_terms(a, ["unit_id", "page", "parent_id", "target_text"], "source", "pair", t.select("term_id", "language", F.col("source").alias("form")))
+    a, t = _termed(spark, d)
+    found = retrieval.contained_terms(a, ["unit_id", "page", "parent_id", "effective"], "source", "pair", t.where("target <> ''").select("term_id", F.col("pair").alias("language"), F.col("source").alias("form")))
     wanted = found.join(t.select("term_id", "scope", F.col("target").alias("wanted")), "term_id")
-    return wanted.where(retrieval.in_scope(F.col("scope"), F.col("page"), F.col("parent_id")) & ~F.contains("target_text", "wanted")).select("unit_id", "term_id")
+    return wanted.where(retrieval.in_scope(F.col("scope"), F.col("page"), F.col("parent_id")) & ~F.contains("effective", "wanted")).select("unit_id", "term_id")
 
 
-@query(f"""WITH {_TERM}, f AS (SELECT term_id, source_language, target_language, unnest(forbidden) AS word FROM glossary_terms)
-SELECT DISTINCT unit_id, term_id FROM a JOIN f ON f.source_language = a.sl AND f.target_language = a.tl AND f.word <> '' AND contains(lower(target_text), lower(f.word))""")
+@query(f"""WITH {_TERM}, f AS (SELECT term_id, source_language, target_language, unnest(forbidden) AS word FROM t)
+SELECT DISTINCT unit_id, term_id FROM r JOIN f ON f.source_language = r.sl AND f.target_language = r.tl AND f.word <> '' AND contains(eff, f.word)""")
 def forbidden_terms(spark: SparkSession, d: str) -> DataFrame:
-    a = _termed(spark, d).withColumn("pair", F.concat_ws(">", "source_language", "target_language"))
-    t = table(spark, d, "glossary_terms").select("term_id", F.concat_ws(">", "source_language", "target_language").alias("language"), F.explode("forbidden").alias("form"))
-    return retrieval.contained_terms(a, ["unit_id"], "target_text", "pair", t)
+    """Forbidden words as they are spelled, in any scope."""
+    a, t = _termed(spark, d)
+    return retrieval.contained_terms(a, ["unit_id"], "effective", "pair", t.select("term_id", F.col("pair").alias("language"), F.explode("forbidden").alias("form")), exact=True)
+
+
+@query(f"""WITH {_TERM}, f AS (SELECT term_id, source_language, target_language, target AS word FROM t)
+SELECT DISTINCT unit_id, term_id FROM r JOIN f ON f.source_language = r.sl AND f.target_language = r.tl AND f.word <> '' AND contains(eff, f.word)""")
+def used_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Approved renderings as they are spelled in the targets."""
+    a, t = _termed(spark, d)
+    return retrieval.contained_terms(a, ["unit_id"], "effective", "pair", t.select("term_id", F.col("pair").alias("language"), F.col("target").alias("form")), exact=True)
 
 
 @query()

@@ -255,11 +255,19 @@ def repeated_margins(spark: SparkSession, d: str) -> DataFrame:
     return layout.repeated_margins(blocks(spark, d))
 
 
-@query(f"""WITH {B} SELECT block_id, ((bbox.y1 < page_height * 0.08 AND bbox.y1 - bbox.y0 < 20 AND regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^[■▪●]?\\s*[A-Z][A-Z0-9 .&:;–—-]{{2,}}$'))
+@query(f"""WITH {B}, p AS (SELECT project_id, count(DISTINCT page) AS pages FROM b GROUP BY ALL),
+k AS (SELECT project_id, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\d+', '#', 'g') AS key FROM b WHERE bbox.y1 < page_height * 0.11 OR bbox.y0 > page_height * 0.89),
+c AS (SELECT project_id, key FROM k JOIN p USING (project_id) WHERE length(key) > 0 AND length(key) < 220 GROUP BY ALL HAVING count(*) >= greatest(2, ceil(max(pages) / 2)))
+SELECT block_id, ((c.key IS NOT NULL AND (bbox.y1 < page_height * 0.14 OR bbox.y0 > page_height * 0.86))
+  OR (bbox.y1 < page_height * 0.08 AND bbox.y1 - bbox.y0 < 20 AND regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^[■▪●]?\\s*[A-Z][A-Z0-9 .&:;–—-]{{2,}}$'))
   OR (bbox.y0 > page_height * 0.92 AND bbox.y1 - bbox.y0 < 28 AND regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '(?i)^(?:(?:page\\s*)?\\d+|[ivxlcdm]+)$'))
-  OR (bbox.x0 < page_width * 0.09 AND bbox.y1 - bbox.y0 > page_height * 0.35 AND bbox.x1 - bbox.x0 < 45)) AS marginal FROM b""")
+  OR (bbox.x0 < page_width * 0.09 AND bbox.y1 - bbox.y0 > page_height * 0.35 AND bbox.x1 - bbox.x0 < 45)) AS marginal
+FROM b LEFT JOIN c ON c.project_id = b.project_id AND c.key = regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\d+', '#', 'g')""")
 def marginal_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(spark, d).select("block_id", C.is_marginal(F.col("text"), F.col("bbox"), F.col("page_width"), F.col("page_height"), F.lit(False)).alias("marginal"))
+    b = blocks(spark, d)
+    known = layout.repeated_margins(b).where("repeated").select("project_id", "key", "repeated")
+    keyed = b.withColumn("key", C.marginal_key(T.strip(F.col("text")))).join(known, ["project_id", "key"], "left")
+    return keyed.select("block_id", C.is_marginal(F.col("text"), F.col("bbox"), F.col("page_width"), F.col("page_height"), F.coalesce("repeated", F.lit(False))).alias("marginal"))
 
 
 @query(f"WITH {B} SELECT project_id, page, count(*) AS blocks, sum(length(coalesce(text, '')))::BIGINT AS chars, sum(length(coalesce(text, ''))) < 20 AS manual FROM b GROUP BY ALL")
