@@ -56,7 +56,8 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def resolve(issues: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Issues with the state of their resolution (type 1: overwritten); a resolution of an unknown issue is an error."""
+    """Issues with the state of their resolution (type 1: overwritten); a resolution of an unknown issue is an error, one without an id says nothing."""
+    resolutions = resolutions.where("issue_id IS NOT NULL")
     unknown = resolutions.join(issues, "issue_id", "left_anti").select("issue_id").first()
     if unknown is not None:
         raise ValueError(f"there is no issue {unknown[0]}")

@@ -129,7 +129,7 @@ def _termed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     effective = F.when(F.col("target_table").isNotNull(), F.concat("target_text", F.lit("\n"), F.array_join(rows, "\n"))).otherwise(F.col("target_text"))
     a = _aligned(spark, d).where(F.col("target_text").isNotNull())
     texts = a.select("unit_id", "page", "parent_id", pair, effective.alias("effective"), T.without_quoted_titles(render.source_representation()).alias("source"))
-    return texts, table(spark, d, "glossary_terms").where("status = 'approved'").select("*", pair)
+    return texts, table(spark, d, "glossary_terms").where("status = 'approved'").select("term_id", "scope", "source", "target", "forbidden", pair)
 
 
 @query(f"""WITH {_TERM} SELECT unit_id, term_id FROM r JOIN t ON t.source_language = r.sl AND t.target_language = r.tl AND t.source <> '' AND t.target <> '' AND contains(r.s, lower(t.source))
