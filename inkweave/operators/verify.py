@@ -112,8 +112,7 @@ def unbatched(units: DataFrame, members: DataFrame) -> DataFrame:
 
 def subsets(sets: DataFrame, name: str, element: str) -> DataFrame:
     """``part, whole``: sets of which one holds the other, by their shared elements; equal sets hold each other."""
-    s = sets.select(name, element).distinct()
-    size = s.groupBy(name).agg(F.count("*").alias("n"))
-    a, b = s.select(F.col(name).alias("part"), element), s.select(F.col(name).alias("whole"), element)
-    shared = a.join(b, element).where("part <> whole").groupBy("part", "whole").agg(F.count("*").alias("both"))
-    return shared.join(size.withColumnRenamed(name, "part"), "part").where("both = n").select("part", "whole")
+    s = sets.select(F.col(name).alias("part"), F.col(element).alias("held")).distinct()
+    size = s.groupBy("part").agg(F.count("*").alias("size"))
+    shared = s.join(s.withColumnRenamed("part", "whole"), "held").where("part <> whole").groupBy("part", "whole").agg(F.count("*").alias("both"))
+    return shared.join(size, "part").where("both = size").select("part", "whole")
