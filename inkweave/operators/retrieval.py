@@ -94,8 +94,8 @@ def carry_over(old: DataFrame, new: DataFrame, least: float = 88.0) -> DataFrame
 
     ``(project_id, page, ord, id, kind, text)``; kinds must agree (paragraph and note count as
     one), tables are skipped.  In the order of the new texts each takes the unused old text of
-    the best ratio, the first one of equals, if the ratio is ``least`` or more.  A page is the
-    unit of work, so no group grows with the corpus.
+    the best ratio, the first one of equals, if the ratio is ``least`` or more.  Pages are streamed
+    in order, one at a time, so no group grows with the corpus; a null text counts as empty.
     """
     kind = F.when(F.col("kind").isin("paragraph", "note"), "prose").otherwise(F.col("kind"))
     key = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", "")
@@ -103,27 +103,40 @@ def carry_over(old: DataFrame, new: DataFrame, least: float = 88.0) -> DataFrame
         new.where("kind <> 'table'").select("project_id", "page", "ord", "id", kind.alias("kind"), key.alias("text"), F.lit(True).alias("fresh"))
     )
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ord", "id"])
-        pool = [(i, k, t) for i, k, t, x in zip(f["id"], f["kind"], f["text"], f["fresh"]) if not x]
-        out, used = [], set()
-        for i, k, t, x in zip(f["id"], f["kind"], f["text"], f["fresh"]):
+    def matches(page: list[tuple]) -> list[tuple]:
+        """Of one page's (id, kind, text, fresh) in order."""
+        pool: dict[str, list[tuple]] = {}
+        for i, k, t, x in page:
             if not x:
-                continue
+                pool.setdefault(k, []).append((i, t))
+        out = []
+        for i, k, t, x in page:
             best = (-1.0, None)
-            for j, kind, text in pool:
-                if kind == k and j not in used:
-                    bound = 200.0 * min(len(t), len(text)) / max(1, len(t) + len(text))
-                    if bound > best[0] and (t == text or bound >= least):
-                        score = 100.0 if t == text else indel_ratio(t, text)
-                        if score > best[0]:
-                            best = (score, j)
+            for place, (_, text) in enumerate(pool.get(k, ()) if x else ()):
+                bound = 200.0 * min(len(t), len(text)) / max(1, len(t) + len(text))
+                if bound > best[0] and (t == text or bound >= least):
+                    score = 100.0 if t == text else indel_ratio(t, text)
+                    if score > best[0]:
+                        best = (score, place)
             if best[1] is not None and best[0] >= least:
-                used.add(best[1])
-                out.append((i, best[1], best[0]))
-        return pd.DataFrame(out, columns=["new_id", "old_id", "score"])
-
-    return both.groupBy("project_id", "page").applyInPandas(run, "new_id string, old_id string, score double")
+                out.append((i, pool[k].pop(best[1])[0], best[0]))
+        return out
+
+    def run(frames):
+        key, page = None, []
+        for f in frames:
+            found = []
+            for row in f.itertuples(index=False, name=None):
+                if row[0] != key:
+                    found += matches(page)
+                    key, page = row[0], []
+                page.append(row[1:])
+            yield pd.DataFrame(found, columns=["new_id", "old_id", "score"])
+        yield pd.DataFrame(matches(page), columns=["new_id", "old_id", "score"])
+
+    keyed = both.select(F.to_json(F.struct("project_id", "page")).alias("key"), "ord", "id", "kind", F.coalesce("text", F.lit("")).alias("text"), "fresh")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "ord", "id")
+    return ordered.select("key", "id", "kind", "text", "fresh").mapInPandas(run, "new_id string, old_id string, score double")
 
 
 def greedy_cover(selected: set[str], manifests: list[tuple[str, str, set[str]]]) -> list[str] | None:
