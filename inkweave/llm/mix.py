@@ -97,7 +97,10 @@ def _certain(sized: DataFrame, p: DataFrame) -> DataFrame:
     and what is left of the wanted size is spread anew over the others, until none passes.  Only
     one row per source is kept between rounds.
     """
-    limits = p.select("source", "rest", F.lit(0).cast("bigint").alias("certain"), F.lit(False).alias("settled"))
+    spark = sized.sparkSession
+    # One row per source of the targets, here and in every round.
+    planned = {r["source"]: r for r in p.collect()}
+    limits = spark.createDataFrame([(k, float(r["rest"]), 0, False) for k, r in planned.items()], "source string, rest double, certain bigint, settled boolean")
     sizes = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
     while True:
         over = F.when(F.col("tokens") > F.col("certain"), F.col("n") * F.pow(F.col("tokens"), 1 - SIZE_POWER))
@@ -105,17 +108,16 @@ def _certain(sized: DataFrame, p: DataFrame) -> DataFrame:
         sums = sizes.join(limits, "source").groupBy("source", "rest", "certain").agg(F.sum(over).alias("scale"), F.coalesce(F.sum(under), F.lit(0)).alias("taken"))
         factor = F.coalesce(F.greatest(F.lit(0.0), F.col("rest") - F.col("taken")) / F.col("scale"), F.lit(0.0))
         bound = F.greatest("certain", F.floor(F.pow(factor, 1 / SIZE_POWER)).cast("bigint"))
-        # One row per source of the targets.
         rows = sums.select("source", "rest", bound.alias("certain"), (bound == F.col("certain")).alias("settled"), factor.alias("factor")).collect()
-        known = sized.sparkSession.createDataFrame(rows, "source string, rest double, certain bigint, settled boolean, factor double")
         if all(r["settled"] for r in rows):
-            return p.join(F.broadcast(known.select("source", "certain", "factor")), "source")
-        limits = known.drop("factor")
+            merged = [(r["source"], float(r["rest"]), int(planned[r["source"]]["whole"]), r["certain"], r["factor"]) for r in rows]
+            return spark.createDataFrame(merged, "source string, rest double, whole int, certain bigint, factor double")
+        limits = spark.createDataFrame([tuple(r)[:4] for r in rows], limits.schema)
 
 
 def _drawn(sized: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int) -> DataFrame:
     p = _certain(sized, plan(sized, targets, total_tokens))
-    rows = sized.join(F.broadcast(p), "source")
+    rows = sized.join(p, "source")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     inclusion = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("factor") * F.pow(F.col("tokens"), -SIZE_POWER)))
     q = F.when(F.col("tokens") <= F.col("certain"), F.lit(-64.0)).otherwise(F.log(u / (1 - u)) - F.log(inclusion / (1 - inclusion)))
@@ -124,12 +126,11 @@ def _drawn(sized: DataFrame, targets: DataFrame, total_tokens: int | None, seed:
     per = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = ranked.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(per), F.lit(0)))
     # At most one bucket a source is cut by the wanted size; only its rows are ordered.
-    edges = buckets.join(F.broadcast(p.select("source", "rest")), "source").where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    edges = edges.groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("edge"))
-    placed = ranked.join(F.broadcast(edges), "source", "left")
-    last = buckets.join(F.broadcast(p.select("source", "rest")), "source").where(F.col("before") + F.col("n") <= F.col("rest")).groupBy("source").agg(F.max("bucket").alias("full"))
-    placed = placed.join(F.broadcast(last), "source", "left")
-    at_edge = F.col("bucket") == F.col("edge.bucket")
+    cut_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))
+    whole_here = F.col("before") + F.col("n") <= F.col("rest")
+    marks = buckets.join(p.select("source", "rest"), "source").groupBy("source").agg(F.max(F.when(cut_here, F.struct("bucket", "before"))).alias("edge"), F.max(F.when(whole_here, F.col("bucket"))).alias("full"))
+    placed = ranked.join(marks, "source", "left")
+    at_edge = F.coalesce(F.col("bucket") == F.col("edge.bucket"), F.lit(False))
     order = Window.partitionBy("source", F.when(at_edge, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))).orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     done = F.col("edge.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
     extra = F.when(at_edge, (done + F.col("tokens") / 2 <= F.col("rest")).cast("int")).when(F.col("bucket") <= F.col("full"), 1).otherwise(0)
