@@ -323,7 +323,9 @@ class Index:
             shape, numbers = Shape(cjk, window), np.array(members, dtype=np.int32)
             reps = []
             for _, key, owner, offset in keys_of(shape, Batch([codes[k] for k in members], shape.steps + 1), 1):
-                order = np.argsort(key, kind="stable")
+                # A window that an item repeats stands once, where it is first; its other places lie in the same passage.
+                _, order = np.unique(np.stack([key, owner], axis=1), axis=0, return_index=True)
+                order = order[np.argsort(key[order], kind="stable")]
                 reps.append((key[order], numbers[owner[order]], offset[order]))
             if reps:
                 tables[cjk, window] = reps
@@ -414,7 +416,8 @@ def _joined(docs: DataFrame, items: DataFrame, types: tuple[str, str]) -> DataFr
             shape = shape_of(c)
             if shape:
                 for r, key, _, offset in keys_of(shape, Batch([c], shape.steps + 1), 1):
-                    for k, i in zip(key.tolist(), offset.tolist()):
+                    first, at = np.unique(key, return_index=True)
+                    for k, i in zip(first.tolist(), offset[at].tolist()):
                         yield item_id, shape.cjk, shape.window, r, k, i
 
     keyed = map_rows(items, item_keys, f"item_id {types[1]}, cjk boolean, window int, r int, k bigint, i int").persist()
@@ -432,7 +435,7 @@ def _joined(docs: DataFrame, items: DataFrame, types: tuple[str, str]) -> DataFr
 
     theirs = map_rows(docs, doc_keys, f"doc_id {types[0]}, r int, k bigint, p int").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     mine = keyed.select("item_id", "r", "k", "i", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
-    met = theirs.join(mine, ["r", "k", "part"]).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("p", "i")).alias("places"))
+    met = theirs.join(mine.hint("merge"), ["r", "k", "part"]).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("p", "i")).alias("places"))
     pairs = met.join(docs.distinct(), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", "text", "item", "places")
 
     def check(rows):
