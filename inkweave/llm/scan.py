@@ -5,8 +5,9 @@
   the rare forms are misreadings of it.  For ideographs the groups are pairs of look-alike
   characters and the contexts are the neighbouring characters.
 * Words broken over a line end are joined where the corpus doesn't know them with a hyphen.
-* Lines with masked digits that repeat over the pages of a project, or name one of its
-  chapters, are running heads; a line that holds the page's own number is a page number.
+* Lines with masked digits that name one of the project's chapters, or stand in the margin
+  or beside the page's own number on several pages, are running heads; a line that holds the
+  page's own number is a page number.
 * ``reflow`` joins what is left into paragraphs with SQL windows over the lines.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,9 +56,9 @@ _MISREAD_CJK = re.compile("[" + "".join(sorted(IDEOGRAPHS)) + "]")
 _HAN = re.compile("[㐀-鿿]")
 _NEWLINE_CJK = re.compile(r"[ \t]*\n[ \t]*")
 
-_NUMBER_LINE = re.compile(r"(?:(?:Page|Seite|S\.|p\.|第) ?)?(\d{1,5})(?: ?[页頁])?|[-–—] ?(\d{1,5}) ?[-–—]|\[(\d{1,5})\]|([ivxlcdm]+)")
-_FIRST_NUMBER = re.compile(r"^(\d{1,5}) ?[|·–-] ?")
-_LAST_NUMBER = re.compile(r"[ |·–-]+(\d{1,5})$")
+_NUMBER_LINE = re.compile(r"(?:(?:Page|Seite|S\.|p\.|第) ?)?(\d+)(?: ?[页頁])?|[-–—] ?(\d+) ?[-–—]|\[(\d+)\]|([ivxlcdm]+)")
+_FIRST_NUMBER = re.compile(r"^(\d+) ?[|·–-] ?")
+_LAST_NUMBER = re.compile(r"[ |·–-]+(\d+)$")
 _CHAPTER = re.compile(r"^(?:chapter|ch\.|kapitel|kap\.|chapitre|अध्याय|บทที่) ?\d+ ?[·:|.–-]? ?|^第 ?\d+ ?章 ?[·:|]? ?", re.I)
 _TITLE = re.compile(r"[A-ZÄÖÜÀ-Þ][\w'-]*(?: [A-ZÄÖÜÀ-Þ][\w'-]*)* (?:and|und|or|oder|of|AND|UND) [A-ZÄÖÜÀ-Þ][\w'-]*(?: [A-ZÄÖÜÀ-Þ][\w'-]*)*")
 _SENTENCE_END = re.compile(r"[.,;:!?。！？，；：、।]$")
@@ -92,6 +94,10 @@ def _words(text: str) -> list[str]:
     return [w for w in _WORD.findall(_BREAK.sub(" ", text) if "\n" in text and _MAY_BREAK.search(text) else text) if len(w) > 1 and _LETTERS.search(w)]
 
 
+def _unbroken(text: str) -> str:
+    return _BREAK.sub(r"\1\3", text) if "\n" in text and _MAY_BREAK.search(text) else text
+
+
 def _ideographs(text: str) -> str:
     return _NEWLINE_CJK.sub("", text) if "\n" in text else text
 
@@ -182,13 +188,13 @@ def _pairs_of(counts: DataFrame) -> dict[str, int] | None:
     return {r["form"]: r["n"] for r in table} if len(table) <= BROADCAST_PAIRS else None
 
 
-def _judged_contexts(texts: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
-    """``key, judged``: per record the map of its contexts with a misread ideograph to the look-alike, by joins."""
+def _judged_contexts(texts: DataFrame, key: str, text: str, counts: DataFrame, whole: Callable[[str], str] = lambda t: t) -> DataFrame:
+    """``key, judged``: per record the map of its contexts with a misread ideograph in ``whole(text)`` to the look-alike, by joins."""
     key_type = texts.schema[key].dataType.simpleString()
 
     def contexts(rows):
         for k, t in rows:
-            s = _ideographs(t)
+            s = _ideographs(whole(t))
             for x in {(s[m.start() - 1 : m.start()] if m.start() else "", m.group(), s[m.end() : m.end() + 1]) for m in _MISREAD_CJK.finditer(s)}:
                 yield (k, *x)
 
@@ -247,6 +253,11 @@ def _marginal(lines: list[str], y0: float | None, height: float | None) -> bool:
     return y0 is not None and bool(height) and (y0 < MARGIN * height or y0 > (1 - MARGIN) * height) and len(lines) == 1
 
 
+def _head(own: bool, marginal: bool) -> str | None:
+    """What speaks for a running head beside its words."""
+    return "own" if own else "margin" if marginal else None
+
+
 def found(records: DataFrame) -> DataFrame:
     """``record_id, noise`` of ``records(record_id, project_id, page, kind, text, y0, height)``.
 
@@ -277,7 +288,7 @@ def found(records: DataFrame) -> DataFrame:
                     if number:
                         yield record_id, "page_number", None, None, None, page
                     elif key is not None:
-                        yield record_id, "head", project, key, "own" if own else None, page
+                        yield record_id, "head", project, key, _head(own, marginal), page
             if not prose or marginal:
                 continue
             broken = len(lines) > 1 and _MAY_BREAK.search(text)
@@ -286,12 +297,12 @@ def found(records: DataFrame) -> DataFrame:
                     if m.group(3)[0].islower():
                         a, b = m.group(1), m.group(3)
                         yield record_id, "break", None, a + "-" + b, (a + b) if m.group(2) == "-" else None, page
-            whole = _BREAK.sub(r"\1\3", text) if broken else text
+            whole = _unbroken(text)
             if _stray(whole) or forms is not None and any(w in forms for w in _WORD.findall(whole)):
                 yield record_id, "misread", None, None, None, page
                 continue
             if forms is None:
-                for w in set(_words(whole)):
+                for w in {w for w in _WORD.findall(whole) if len(w) > 1 and _LETTERS.search(w)}:
                     yield record_id, "word", None, w, None, page
             if pairs is not None and _MISREAD_CJK.search(whole) and misread_ideographs(_ideographs(whole), pairs):
                 yield record_id, "misread", None, None, None, page
@@ -301,7 +312,7 @@ def found(records: DataFrame) -> DataFrame:
     if shared.value is None:
         marginal = F.coalesce((F.col("height") != 0) & ((F.col("y0") < MARGIN * F.col("height")) | (F.col("y0") > (1 - MARGIN) * F.col("height"))) & ~F.contains("text", F.lit("\n")), F.lit(False))
         texts = base.where(F.coalesce(prose, F.lit(True)) & ~marginal).select("record_id", "text").distinct()
-        plain = plain.unionByName(_judged_contexts(texts, "record_id", "text", counts).select("record_id", F.lit("misread").alias("noise")))
+        plain = plain.unionByName(_judged_contexts(texts, "record_id", "text", counts, _unbroken).select("record_id", F.lit("misread").alias("noise")))
     return plain.unionByName(_breaks(scanned, counts)).unionByName(_heads(scanned, base)).unionByName(
         scanned.where("noise = 'word'").join(fixes, scanned.a == fixes.form, "left_semi").select("record_id", F.lit("misread").alias("noise"))
     ).distinct()
@@ -326,7 +337,7 @@ def _breaks(scanned: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _heads(scanned: DataFrame, base: DataFrame) -> DataFrame:
-    """Records whose lines name a chapter, or repeat on several pages of the project as titles do."""
+    """Records whose lines name a chapter, or repeat in the margin or beside the page's number."""
     head = _judged(scanned, base)
     names = head.select("record_id", F.lit("header").alias("noise"))
     numbers = head.where("own").select("record_id", F.lit("page_number").alias("noise"))
@@ -335,16 +346,19 @@ def _heads(scanned: DataFrame, base: DataFrame) -> DataFrame:
 
 def _judged(scanned: DataFrame, base: DataFrame, *more: str) -> DataFrame:
     """``record_id, own, *more`` of the lines that are running heads."""
-    lines = scanned.where("noise = 'head'").select("record_id", "project_id", F.ltrim(F.lit("\x01"), "a").alias("key"), F.col("a").startswith("\x01").alias("chapter"), F.col("b").isNotNull().alias("own"), "page", *more)
-    titles = (
-        base.where((F.col("kind") == "heading") & (F.coalesce(F.col("y0") >= MARGIN * F.col("height"), F.lit(True))) & ~F.col("text").contains("\n"))
-        .select("project_id", F.lower(F.regexp_replace(F.regexp_replace(F.trim("text"), r"\d+", "#"), "\x01", "")).alias("key"))
-        .distinct()
-        .withColumn("title", F.lit(True))
-    )
-    pages = lines.where(F.length("key") > 2).groupBy("project_id", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("project_id", "key", F.lit(True).alias("repeated"))
+    b = F.col("b")
+    lines = scanned.where("noise = 'head'").select("record_id", "project_id", F.ltrim("a", F.lit("\x01")).alias("key"), F.col("a").startswith("\x01").alias("chapter"), b.eqNullSafe("own").alias("own"), b.isNotNull().alias("apart"), "page", *more)
+
+    def keys(rows):
+        for project, t in rows:
+            yield project, re.sub(r"\d+", "#", t.strip()).casefold()
+
+    headings = base.where((F.col("kind") == "heading") & (F.coalesce(F.col("y0") >= MARGIN * F.col("height"), F.lit(True))) & ~F.col("text").contains("\n"))
+    titles = map_rows(headings.select("project_id", "text").distinct(), keys, "project_id string, key string").distinct().withColumn("title", F.lit(True))
+    # A wrapped line of prose repeats by chance in a large project.
+    pages = lines.where((F.length("key") > 2) & F.col("apart")).groupBy("project_id", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("project_id", "key", F.lit(True).alias("repeated"))
     judged = lines.join(titles, ["project_id", "key"], "left").join(pages, ["project_id", "key"], "left")
-    return judged.where(F.col("chapter") | F.coalesce("title", "repeated", F.lit(False))).select("record_id", "own", *more)
+    return judged.where(F.col("chapter") | F.coalesce("title", F.lit(False)) | F.col("apart") & F.coalesce("repeated", F.lit(False))).select("record_id", "own", *more)
 
 
 def meant_forms(counts: DataFrame) -> DataFrame:
@@ -407,13 +421,14 @@ def repaired(records: DataFrame) -> DataFrame:
     def lines_of(rows):
         for record_id, project, page, kind, text, y0, height in rows:
             lines = text.split("\n")
-            if _marginal(lines, y0, height) or len(lines) > 1 and kind not in ("code", "equation", "table"):
+            marginal = _marginal(lines, y0, height)
+            if marginal or len(lines) > 1 and kind not in ("code", "equation", "table"):
                 for no, line in enumerate(lines):
                     number, key, own = furniture(line, page)
                     if number:
                         yield record_id, "page_number", None, None, None, page, no
                     elif key is not None:
-                        yield record_id, "head", project, key, "own" if own else None, page, no
+                        yield record_id, "head", project, key, _head(own, marginal), page, no
 
     scanned = map_rows(base, lines_of, "record_id string, noise string, project_id string, a string, b string, page int, no int").persist()
     gone = scanned.where("noise = 'page_number'").select("record_id", "no").unionByName(_judged(scanned, base, "no").select("record_id", "no")).groupBy("record_id").agg(F.collect_set("no").alias("gone"))
@@ -460,7 +475,7 @@ def reflow(records: DataFrame) -> DataFrame:
     """
     lines = records.where(F.col("text").isNotNull()).select("record_id", "page", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     own = F.col("page").cast("string")
-    number = (F.regexp_extract("line", r"^\s*(?:\[|[-–—] ?|Page )?(\d{1,5})(?:\]| ?[-–—])?\s*$", 1) == own)
+    number = (F.regexp_extract("line", r"^\s*(?:\[|[-–—] ?|Page )?(\d+)(?:\]| ?[-–—])?\s*$", 1) == own)
     kept = lines.where(~F.coalesce(number, F.lit(False)))
     w = Window.partitionBy("record_id").orderBy("no")
     nxt = F.lead("line").over(w)

@@ -468,6 +468,47 @@ def test_ideographs_are_found_with_any_number_of_pairs(spark, monkeypatch, limit
     assert got == {("h1", "hyphenation"), ("m1", "misread"), ("n2", "header"), ("n2", "page_number"), ("k1", "header"), ("z1", "misread")}
 
 
+COLUMNS = "record_id string, project_id string, page int, kind string, text string, y0 double, height double"
+
+
+def test_page_numbers_of_any_length(spark):
+    n = 1_234_567
+    for line in (f"{n}", f"Page {n}", f"- {n} -", f"[{n}]", f"第 {n} 页"):
+        assert scan.furniture(line, n)[0] and not scan.furniture(line, n + 1)[0]
+    assert scan.furniture(f"{n} | Chapter 4", n)[2] and scan.furniture(f"Local Window and Margin {n}", n) == (False, "\x01local window and margin", True)
+    df = spark.createDataFrame([("n1", "p", n, "paragraph", f"The window\n{n}\nis near.", None, None), ("n2", "p", n, "paragraph", f"The window\n{n} | Chapter 4\nis near.", None, None)], COLUMNS)
+    assert {tuple(r) for r in scan.found(df).collect()} == {("n1", "page_number"), ("n2", "page_number"), ("n2", "header")}
+    assert {r["text"] for r in scan.reflow(df.where("record_id = 'n1'")).collect()} == {"The window is near."}
+
+
+def test_heads_by_title_margin_or_own_number(spark):
+    data = [
+        ("t1", "p", 1, "heading", "可见的消息与方程", 100.0, 800.0),
+        ("t2", "p", 1, "heading", "Größen des Gitters", 100.0, 800.0),
+        ("a1", "p", 7, "paragraph", "可见的消息与方程 7", 30.0, 800.0),
+        ("a2", "p", 8, "paragraph", "The window\n可见的消息与方程\nis near.", None, None),
+        ("a3", "p", 9, "paragraph", "GRÖSSEN DES GITTERS", 30.0, 800.0),
+        ("a4", "q", 9, "paragraph", "可见的消息与方程", 30.0, 800.0),
+        ("m1", "p", 10, "paragraph", "Proceedings", 30.0, 800.0),
+        ("m2", "p", 11, "paragraph", "Proceedings", 30.0, 800.0),
+        ("o1", "p", 12, "paragraph", "The window\nAnnals 12\nis near.", None, None),
+        ("o2", "p", 13, "paragraph", "The window\n13 | Annals\nis near.", None, None),
+        ("w1", "p", 14, "paragraph", "In other words the\nwindow is near.", None, None),
+        ("w2", "p", 15, "paragraph", "In other words the\nmargin is near.", None, None),
+    ]
+    got = {tuple(r) for r in scan.found(spark.createDataFrame(data, COLUMNS)).collect()}
+    assert got == {*((k, "header") for k in ("a1", "a2", "a3", "m1", "m2", "o1", "o2")), *((k, "page_number") for k in ("a1", "o1", "o2"))}
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_misread_words_and_ideographs_at_breaks_with_any_limit(spark, monkeypatch, limit):
+    monkeypatch.setattr(scan, "BROADCAST_FORMS", limit)
+    monkeypatch.setattr(scan, "BROADCAST_PAIRS", limit)
+    data = [("m1", "p", 1, "paragraph", "The win-\ndow-\nexterna1 margin.", None, None), ("z1", "p", 2, "paragraph", "国处-\n数据。", None, None)]
+    df = scanned_pages(spark).where("record_id like 'c%'").unionAll(spark.createDataFrame(data, COLUMNS))
+    assert {tuple(r) for r in scan.found(df).where("noise = 'misread'").collect()} == {("m1", "misread"), ("z1", "misread")}
+
+
 def test_roman_page_numbers():
     assert scan.furniture("mcdxliv", 1444)[0] and scan.furniture("xiv", 14)[0] and not scan.furniture("xiv", 15)[0]
 
