@@ -1,28 +1,33 @@
 """Texts cut off by field limits.
 
-Intact values are cut artificially to make positives; a hashed logistic regression is
-trained on closing characters, punctuation, structure and length-to-limit features; every
-record is scored.  The corpus gives two statistics over all rows: how much the lengths of a
-source pile up at a record's length (in characters and in bytes), and how often a closing
+Every intact value is cut artificially to make a positive; a hashed logistic regression is
+trained on closing characters, punctuation, structure and length-to-limit features of all
+of them; every record is scored.  The corpus gives two statistics over all rows: how much
+the lengths of a source pile up at a record's length (in characters and in bytes), and how often a closing
 line stands as a whole line elsewhere.  Texts are read once for their narrow closing
-features, and once for their lines; no text is shuffled.
+features, as they are and cut, and once for their lines; no text is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.llm.arrow import map_rows
 from inkweave.sources.scratch import cut
 
-#: Labelled rows that the driver fits on, at most twice as many (each gives two examples).
+#: Half of the rows in a part of the documents that is fitted at once; the parts' weights are averaged.
 TRAIN_ROWS = 6000
+#: Steps of one in which weights are summed, exactly in any order.
+STEPS = 1 << 20
 DIMENSIONS = 1 << 13
 EPOCHS = 12
 #: Neighbouring lengths against which a pile-up is measured, and the least pile-up.
@@ -36,8 +41,11 @@ BROADCAST_PILES = 200_000
 #: Parts into which the documents of one closing line are split.
 SALT = 8
 
-_MARKER = re.compile(r"(?:\s*(?:\.{2,}|…+|�+|\[(?:\.\.\.|…)\]|\[?\(?(?:truncated|cut|more|gekürzt)\)?\]?))+\s*$", re.I)
-_TERMINAL = re.compile(r"[.!?。！？।؟][\"'”’“»」』）)\]】*_]*$")
+#: Signs that mark a cut, in runs; and other markers, at most 13 characters each.
+_MARKS = ".…�"
+_MARKER = re.compile(r"(?:\[(?:\.\.\.|…)\]|\[?\(?(?:truncated|cut|more|gekürzt)\)?\]?)\Z", re.I)
+_TERMINALS, _CLOSERS = ".!?。！？।؟", "\"'”’“»」』）)]】*_"
+_THAI = re.compile("[฀-๿]")
 _STRUCTURES = (
     ("table", re.compile(r"\|.*\|$")),
     ("item", re.compile(r"(?:[-*+•]|\d+[.)])\s+\S")),
@@ -66,20 +74,44 @@ def _kind(c: str) -> str:
     return "_" if c.isspace() else c
 
 
+def _marked(text: str) -> tuple[int, str]:
+    """Where the markers at the end of ``text`` begin, with the space before, and the first one's first sign."""
+    end, first = len(text), "none"
+    while True:
+        while end and text[end - 1].isspace():
+            end -= 1
+        start, last = end, text[end - 1 : end]
+        if last and last in _MARKS:
+            while start and text[start - 1] == last:
+                start -= 1
+            if last == "." and end - start < 2:
+                return end, first
+        else:
+            m = _MARKER.search(text[max(0, end - 13) : end])
+            if not m:
+                return end, first
+            start -= len(m.group())
+        end, first = start, text[start]
+
+
+def _ended(text: str) -> bool:
+    last = text.rstrip(_CLOSERS)[-1:]
+    return bool(last) and last in _TERMINALS
+
+
 def closing(text: str) -> list[str]:
     """What the end of a text shows by itself; the whole last paragraph counts."""
     text = text.rstrip()
-    marker = _MARKER.search(text)
-    bare = text[: marker.start()] if marker else text
+    end, mark = _marked(text)
+    bare = text[:end]
     paragraph = text.rsplit("\n\n", 1)[-1]
     line = paragraph.rsplit("\n", 1)[-1]
     kinds = "".join(map(_kind, bare[-4:]))
-    ended = bool(_TERMINAL.search(bare[-12:]))
+    ended = _ended(bare)
     structure = next((n for n, p in _STRUCTURES if p.match(line)), "none")
     words = re.findall(r"[^\W\d_]+", line)
     unclosed = any(paragraph.count(a) > paragraph.count(b) for a, b in _OPEN if not (a == "“" and "„" in paragraph))
     short = len(line) < SHORT_LINE and paragraph.count("\n") == 0
-    mark = "none" if not marker else marker.group().strip()[:1]
     return [kinds[-2:], str(ended), mark, structure, str(unclosed), str(short), f"{len(words) <= 4}|{line[:1].isupper()}", words[-1].casefold() if words else ""]
 
 
@@ -113,48 +145,43 @@ def _slots(names: list[str]) -> list[int]:
     return [zlib.crc32(n.encode()) % DIMENSIONS for n in names]
 
 
-def is_thai(tail: str) -> bool:
-    return sum("฀" <= c < "຀" for c in tail[-60:]) * 3 > len(tail[-60:].strip() or " ")
-
+def is_thai(text: str) -> bool:
+    return len(_THAI.findall(text)) * 3 > len(text.strip() or " ")
 
-Example = tuple[list[str], bool, int, float]
 
-
-def examples(key: str, text: str, piled: bool, seen: int, seed: int = 7) -> list[Example]:
-    """An intact text as it is, and cut at a place that its key picks: (closing, piled, seen, cut or not)."""
+def cut_at_random(key: str | None, text: str, seed: int = 7) -> tuple[list[str], bool, int] | None:
+    """What an intact text shows if cut at a place that its key picks: (closing, piled, seen); None where it is whole there too."""
     t = text.rstrip()
-    if not t or is_thai(t):
-        return []
-    out: list[Example] = [(closing(t), piled, seen, 0.0)]
     rnd = random.Random(zlib.crc32(f"{seed} {key}".encode()))
     head = t[: rnd.randrange(max(1, len(t) // 3), max(2, len(t)))]
     line = head.rsplit("\n", 1)[-1]
-    if not (_TERMINAL.search(head[-12:].rstrip()) or head.endswith("\n") or any(p.match(line) for _, p in _STRUCTURES)):
-        mark = rnd.choice(("", "", "", "", "...", "…", "�", "�", " […]", "[...]", " (more)", " [truncated]"))
-        # Half of the limits are taken to be ones at which the source's lengths pile up.
-        out.append((closing(head + mark), piled or rnd.random() < 0.5, 0 if len(line) > 3 else 1, 1.0))
-    return out
+    if _ended(head.rstrip()) or head.endswith("\n") or any(p.match(line) for _, p in _STRUCTURES):
+        return None
+    mark = rnd.choice(("", "", "", "", "...", "…", "�", "�", " […]", "[...]", " (more)", " [truncated]"))
+    # Half of the limits are taken to be ones at which the source's lengths pile up.
+    return closing(head + mark), rnd.random() < 0.5, 0 if len(line) > 3 else 1
 
 
-def fit(rows: list[Example], seed: int = 7) -> np.ndarray:
-    """Weights of the hashed features from labelled examples."""
+def fit(xs: list[list[int]], ys: list[float], seed: int = 7) -> list[float]:
+    """Weights of the hashed features from the slots and labels of examples."""
     rnd = random.Random(seed)
-    xs = [_slots(features(shown, piled, seen)) for shown, piled, seen, _ in rows]
-    ys = [label for _, _, _, label in rows]
-    w = np.zeros(DIMENSIONS)
+    w = [0.0] * DIMENSIONS
     order = list(range(len(xs)))
     for epoch in range(EPOCHS):
         rnd.shuffle(order)
         rate = 0.3 / (1 + epoch)
         for k in order:
             x = xs[k]
-            z = sum(w[i] for i in x)
-            g = ys[k] - 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
+            g = rate * (ys[k] - _p(sum([w[i] for i in x])))
             for i in x:
-                w[i] += rate * g - 1e-5 * w[i]
+                w[i] += g - 1e-5 * w[i]
     return w
 
 
+def _p(z: float) -> float:
+    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+
+
 def _piles(narrow: DataFrame, size: str) -> DataFrame:
     """``source, size``: the lengths at which a source's texts pile up against the lengths near."""
     near = Window.partitionBy("source").orderBy(size).rangeBetween(-NEAR, NEAR)
@@ -173,20 +200,25 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, chars, bytes, last, thai, shown`` of the documents that hold a letter or digit."""
+    """The documents that hold a letter or digit: what their ends show, and the intact ones' if they are cut."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(rows):
-        for doc_id, source, chars, size, last, text in rows:
-            yield doc_id, source, chars, size, last, is_thai(text), closing(text)
+        for doc_id, key, source, chars, size, last, closed, marked, text in rows:
+            thai = is_thai(text)
+            closed = closed and not thai
+            yield doc_id, source, chars, size, last, thai, closing(text), closed, marked, *(closed and cut_at_random(key, text) or (None, None, None))
 
+    text = F.col("text")
+    closed = text.rlike(r"(?:[.!?。！？।][\"'”’“»」)）\]]*|\n(?:- |\||— |https?:)[^\n]*|\n[^\n]*[;}>]|\n[^\n]{1,60})\s*$")
+    marked = text.rlike(r"(?:\.\.|…|\])\s*$")
     last = F.xxhash64(F.trim(F.substring_index(F.rtrim("text"), "\n", -1)))
-    picked = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), last.alias("last"), "text")
-    return map_rows(picked, run, f"doc_id {id_type}, source string, chars int, bytes int, last bigint, thai boolean, shown array<string>")
+    picked = docs.where(text.rlike(r"[\p{L}\p{N}]")).select("doc_id", F.col("doc_id").cast("string").alias("key"), F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), last.alias("last"), closed.alias("closed"), marked.alias("marked"), "text")
+    return map_rows(picked, run, f"doc_id {id_type}, source string, chars int, bytes int, last bigint, thai boolean, shown array<string>, closed boolean, marked boolean, cut_shown array<string>, cut_piled boolean, cut_seen int")
 
 
 def _statistics(docs: DataFrame) -> DataFrame:
-    """The described documents with ``piled`` and ``seen``, written once."""
+    """The described documents with ``piled`` and ``seen``, and whether they are ``intact``, written once."""
     narrow = cut(_described(docs))
     out = narrow
     for size in ("chars", "bytes"):
@@ -198,7 +230,40 @@ def _statistics(docs: DataFrame) -> DataFrame:
     lines = lines.select("last", "seen", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
     out = out.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(lines, ["last", "part"], "left")
     piled = F.coalesce("piled_chars", F.lit(False)) | F.coalesce("piled_bytes", F.lit(False))
-    return cut(out.select("doc_id", "source", "thai", "shown", piled.alias("piled"), F.coalesce("seen", F.lit(0)).alias("seen")))
+    seen = F.coalesce("seen", F.lit(0))
+    intact = F.col("closed") & ~piled & (~F.col("marked") | (seen > 3))
+    return cut(out.select("doc_id", "source", "thai", "shown", piled.alias("piled"), seen.alias("seen"), intact.alias("intact"), "cut_shown", "cut_piled", "cut_seen"))
+
+
+def _weights(table: DataFrame) -> list[float]:
+    """Weights fitted on all intact texts, as they are and cut.
+
+    The rows are dealt by hash to parts of about ``2 * TRAIN_ROWS`` documents.  Each part is
+    fitted by itself, and a feature's weight is the mean over the parts, each counted as
+    often as the feature is in it.  Repeated rows count once.
+    """
+    parts = max(1, math.ceil(table.count() / (2 * TRAIN_ROWS)))
+    part = F.pmod(F.xxhash64("doc_id", "shown", F.lit("fit")), F.lit(parts)).cast("int")
+    examples = table.where("intact").select(part.alias("part"), F.col("doc_id").cast("string").alias("key"), "shown", "seen", "cut_shown", "cut_piled", "cut_seen")
+    dealt = examples.repartition(parts, "part").sortWithinPartitions(*examples.columns)
+
+    def run(rows):
+        for _, own in groupby(rows, itemgetter(0)):
+            xs, ys = [], []
+            for (_, _, shown, seen, cut_shown, cut_piled, cut_seen), _ in groupby(own):
+                xs.append(_slots(features(shown, False, seen)))
+                ys.append(0.0)
+                if cut_shown is not None:
+                    xs.append(_slots(features(cut_shown, cut_piled, cut_seen)))
+                    ys.append(1.0)
+            w = fit(xs, ys)
+            for i, n in sorted(Counter(i for x in xs for i in x).items()):
+                yield i, n, n * round(w[i] * STEPS)
+
+    out = [0.0] * DIMENSIONS
+    for i, n, w in map_rows(dealt, run, "slot int, n bigint, w bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect():
+        out[i] = w / n / STEPS
+    return out
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -207,35 +272,19 @@ def scores(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts, and texts without a letter or digit, aren't scored; texts in
     Thai score 0 (nothing marks their ends); a null source is a source of its own, reported
     as the empty string; repeated rows are scored again.  Ties need no order.  The model is
-    fitted on about ``TRAIN_ROWS`` labelled rows, picked by hash, and applied to all.
+    fitted on all intact texts.
     """
     docs = docs.select("doc_id", "source", "text")
     table = _statistics(docs)
-    share = min(1.0, 2.0 * TRAIN_ROWS / max(1, table.count()))
-    picked = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)
-    text = F.col("text")
-    intact = text.rlike(r"(?:[.!?。！？।][\"'”’“»」)）\]]*|\n(?:- |\||— |https?:)[^\n]*|\n[^\n]*[;}>]|\n[^\n]{1,60})\s*$") & ~F.col("piled")
-    intact = intact & (~text.rlike(r"(?:\.\.|…|\])\s*$") | (F.col("seen") > 3))
-    few = table.where(picked).select("doc_id", "piled", "seen").distinct()
-    sample = docs.where(picked).join(few, "doc_id").where(intact).select(F.col("doc_id").cast("string"), "text", "piled", "seen").limit(2 * TRAIN_ROWS)
-
-    def label(it):
-        for key, text, piled, seen in it:
-            for n, e in enumerate(examples(key, text, piled, seen)):
-                yield (key, n, *e)
-
-    labelled = map_rows(sample, label, "key string, n int, shown array<string>, piled boolean, seen int, label double")
-    rows = sorted(tuple(r) for r in labelled.collect())
-    weights = docs.sparkSession.sparkContext.broadcast(fit([r[2:] for r in rows]))
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(table))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
         w = weights.value
         for doc_id, source, thai, shown, piled, seen in it:
-            z = -30.0 if thai else float(sum(w[i] for i in _slots(features(shown, piled, seen))))
-            yield doc_id, source, 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
+            yield doc_id, source, _p(-30.0 if thai else sum(w[i] for i in _slots(features(shown, piled, seen))))
 
-    return map_rows(table, run, f"doc_id {id_type}, source string, p_cut double")
+    return map_rows(table.select("doc_id", "source", "thai", "shown", "piled", "seen"), run, f"doc_id {id_type}, source string, p_cut double")
 
 
 def cut_rates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

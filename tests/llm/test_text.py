@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -582,6 +583,32 @@ def test_cut_offs_on_held_out_texts(spark):
     assert rates["s"]["texts"] == 851 and rates["s"]["cut_texts"] == len(found)
 
 
+def test_all_intact_texts_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(cutoff, "TRAIN_ROWS", 20)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(4)).capitalize() for _ in range(400)]
+    d = spark.createDataFrame([(i, "s", f"The record reads {'x' * rnd.randrange(300)} near the window.\n\n{w}") for i, w in enumerate(words)], "doc_id bigint, source string, text string")
+    p = [r["p_cut"] for r in cutoff.scores(d.repartition(3)).orderBy("doc_id").collect()]
+    # The texts differ in their last word; those that the fit left out would score alike.
+    assert max(p) < cutoff.THRESHOLD and max(p.count(x) for x in p) < 20
+    assert p == [r["p_cut"] for r in cutoff.scores(d.repartition(7)).orderBy("doc_id").collect()]
+
+
+def test_language_and_closing_marks_of_whole_texts():
+    thai = "ระบบเก็บดัชนีเร็วและระบบ"
+    assert not cutoff.is_thai("The record reads the window near the margin of the page. " * 5 + thai * 2)
+    assert cutoff.is_thai(thai * 20 + "\n\n| n | ms |\n| 1 | 2.5 |\n| 2 | 3.1 |\n| 3 | 3.1 |\n| 4 | 3.1 |\n| 5 | 3.1 |")
+    assert cutoff.closing("The window is near." + ")" * 30)[1] == "True"
+    assert cutoff.closing("Contents " + "." * 300 + " 12")[2] == "none"
+
+
+@given(st.text(st.sampled_from([".", "…", "�", "[", "]", "(", ")", " ", "\n", "a", "”"]), max_size=8), st.sampled_from(["", "more", "(CUT)", "[truncated]", "[...]", "anymore", "gekürzt]"]), st.sampled_from(["", "…", "..", " [...]", ")"]))
+def test_markers_are_those_of_the_expression(a, b, c):
+    text = (a + b + c).rstrip()
+    m = re.search(r"(?:\s*(?:\.{2,}|…+|�+|\[(?:\.\.\.|…)\]|\[?\(?(?:truncated|cut|more|gekürzt)\)?\]?))+\s*$", text, re.I)
+    assert cutoff._marked(text) == ((m.start(), m.group().strip()[:1]) if m else (len(text), "none"))
+
+
 def test_core_does_not_import_the_text_operators():
     import pathlib
 
