@@ -84,7 +84,7 @@ def pages_of_findings(spark: SparkSession, d: str) -> DataFrame:
     """Pages touched by listings of unknown language and by damaged sidebars."""
     u = _broken(spark, d)
     none = F.lit(None).cast("string")
-    code = verify.unit_rules(u).where("code = 'unknown-code-language'").join(u.select("unit_id", "project_id"), "unit_id").select("project_id", F.lit(None).cast("int").alias("page"), "unit_id", none.alias("sidebar_id"))
+    code = verify.unit_rules(u.where("kind = 'code'")).where("code = 'unknown-code-language'").join(u.select("unit_id", "project_id"), "unit_id").select("project_id", F.lit(None).cast("int").alias("page"), "unit_id", none.alias("sidebar_id"))
     side = verify.sidebar_rules(u).select("project_id", F.lit(None).cast("int").alias("page"), none.alias("unit_id"), "sidebar_id")
     return verify.affected_pages(u, code.unionByName(side))
 

@@ -46,6 +46,47 @@ def test_sidebars_and_their_pages(spark, rows):
     assert pages((None, None, None)) == [1, 2, 3, 4]
 
 
+def as_sql_says(spark, folder, units, name):
+    import duckdb
+
+    from inkweave.plans import registry
+
+    spark.createDataFrame(units, UNIT).write.parquet(f"{folder}/source_units.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW source_units AS SELECT * FROM read_parquet('{folder}/source_units.parquet/*.parquet')")
+    want = sorted(con.sql(registry.oracle_sql()[name]).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in registry.queries()[name](spark, str(folder)).collect()), key=repr) == want
+    return want
+
+
+def placeless(row):
+    return row[:2] + (None,) + row[3:]
+
+
+FAR = 10**12
+SPREAD = [
+    unit(1, sidebar_id="s", sidebar_role="title"), unit(2, page=2), unit(FAR + 1, sidebar_id="s", sidebar_role="body", page=3), unit(FAR + 2, page=4),
+    unit(5, project_id="q", sidebar_id="t", sidebar_role="title"), unit(7, project_id="q", render_policy="omit", translatable=False, page=5), unit(FAR + 3, project_id="q", sidebar_id="t", page=6),
+    unit(10, "code", sidebar_id="c", sidebar_role="title", page=7), unit(11, sidebar_id="c", page=8), unit(13, "code", code_language="sql", page=9), unit(14, "code", code_language="text", page=10),
+]
+
+
+def test_pages_of_a_sidebar_over_far_positions(spark, tmp_path):
+    assert as_sql_says(spark, tmp_path, SPREAD, "pages_of_findings") == [("p", 1), ("p", 10), ("p", 3), ("p", 7), ("p", 8)]
+
+
+def test_sidebars_that_share_positions_and_have_nulls(spark, rows):
+    d = spark.createDataFrame(
+        [
+            unit(1, sidebar_id="s"), unit(2, sidebar_id="s", sidebar_role="title"), unit(2, unit_id="x", sidebar_id="t", sidebar_role="title"), unit(4, sidebar_id="v", sidebar_role="title"), unit(5, render_policy=None, translatable=False), unit(6, sidebar_id="v"),
+            placeless(unit(7, sidebar_id="w", sidebar_role="title")), unit(8, sidebar_id="w"), unit(9, project_id=None, sidebar_id="w"), placeless(unit(10, sidebar_id="n")),
+        ],
+        UNIT,
+    )
+    lost = [("p", "n", "invalid-sidebar-title"), ("p", "s", "noncontiguous-sidebar"), ("p", "t", "noncontiguous-sidebar"), ("p", "w", "invalid-sidebar-title"), (None, "w", "invalid-sidebar-title")]
+    assert rows(verify.sidebar_rules(d)) == sorted(lost, key=repr)
+
+
 def test_continuations(spark, rows):
     d = spark.createDataFrame([unit(1, text="It goes"), unit(2, text="and ends."), unit(3, text="It has no"), unit(4, text="end here.", page=2), unit(5, "heading", "and", page=2), unit(6, text="with", page=4)], UNIT)
     assert rows(verify.derived_continuations(d)) == [("u1", "u2"), ("u3", "u4")]
