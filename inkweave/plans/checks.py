@@ -68,7 +68,7 @@ f AS (SELECT project_id, sidebar_id, 'invalid-sidebar-title' AS code FROM s WHER
 
 def _broken(spark: SparkSession, d: str) -> DataFrame:
     u = units(spark, d)
-    return u.withColumn("sidebar_role", F.when(F.col("pos") % 3 != 0, F.col("sidebar_role"))).withColumn("sidebar_id", F.when(F.col("pos") % 4 != 0, F.col("sidebar_id")))
+    return u.withColumn("sidebar_role", F.when(F.col("pos") % 3 == 0, None).otherwise(F.col("sidebar_role"))).withColumn("sidebar_id", F.when(F.col("pos") % 4 == 0, None).otherwise(F.col("sidebar_id")))
 
 
 @query(f"WITH {_SIDE} SELECT project_id, sidebar_id, code FROM f")

@@ -75,6 +75,11 @@ def test_pages_of_a_sidebar_over_far_positions(spark, tmp_path):
     assert as_sql_says(spark, tmp_path, SPREAD, "pages_of_findings") == [("p", 1), ("p", 10), ("p", 3), ("p", 7), ("p", 8)]
 
 
+def test_sidebars_over_far_positions_and_without(spark, tmp_path):
+    found = as_sql_says(spark, tmp_path, [*SPREAD, placeless(unit(20, sidebar_id="n", sidebar_role="body"))], "sidebar_findings")
+    assert found == [("p", "n", "invalid-sidebar-title"), ("p", "s", "noncontiguous-sidebar")]
+
+
 def test_sidebars_that_share_positions_and_have_nulls(spark, rows):
     d = spark.createDataFrame(
         [
